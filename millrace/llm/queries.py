@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.tables import table
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, near_dedup, packing
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,3 +21,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(docs.select("doc_id", packing.words_and_end().alias("length")))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents", "doc_id", "text"), width=3, percent=85)
