@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.tables import table
 
-from . import exact_dedup, mixing, near_dedup, packing
+from . import exact_dedup, mixing, near_dedup, packing, suffix_dedup
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,3 +25,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents", "doc_id", "text"), width=3, percent=85)
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), depth=100)
