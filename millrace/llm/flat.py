@@ -32,9 +32,9 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            room = max(n, 2 * len(self.up))
             for name, m in (("up", self.mult), ("down", pow(self.mult, -1, 1 << 64))):
-                x = np.full(n, m, U)
+                x = np.full(room, m, U)
                 x[0] = 1
                 setattr(self, name, np.multiply.accumulate(x))
         return self.up[:n], self.down[:n]
