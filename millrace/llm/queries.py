@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.tables import table
 
-from . import exact_dedup, mixing, near_dedup, packing, suffix_dedup
+from . import exact_dedup, mixing, near_dedup, packing, substring_dedup, suffix_dedup
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,3 +29,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), depth=100)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), depth=35)
