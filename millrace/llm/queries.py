@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.tables import table
 
-from . import exact_dedup, mixing, near_dedup, neighbours, packing, substring_dedup, suffix_dedup
+from . import exact_dedup, mixing, near_dedup, neighbours, packing, quality, substring_dedup, suffix_dedup
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,3 +37,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
