@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.tables import table
 
-from . import exact_dedup, mixing, near_dedup, neighbours, packing, quality, substring_dedup, suffix_dedup
+from . import exact_dedup, mixing, near_dedup, neighbours, packing, quality, substring_dedup, suffix_dedup, token_file
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,3 +41,9 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op9_token_file(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    import public_tokenizers
+
+    return token_file.token_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(tokenizer))
