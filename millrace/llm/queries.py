@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.tables import table
 
-from . import exact_dedup, mixing, near_dedup, neighbours, packing, quality, substring_dedup, suffix_dedup, token_file
+from . import exact_dedup, lm_score, mixing, near_dedup, neighbours, packing, quality, substring_dedup, suffix_dedup, token_file
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,3 +47,7 @@ def op9_token_file(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_
     import public_tokenizers
 
     return token_file.token_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(tokenizer))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
