@@ -43,6 +43,7 @@ FEATURES = {
 _WIDTHS = [len(e) + 1 for e in FEATURES.values()]
 _STARTS = np.r_[1, 1 + np.cumsum(_WIDTHS)[:-1]]
 DIM = 1 + sum(_WIDTHS)
+#: Ridge of the fit, besides 2 over the number of trusted positives.
 RIDGE = 1e-4
 HELD_OUT = 2  # of crc32(id) mod 4
 
@@ -139,7 +140,7 @@ def scores(column: pa.Array, w: np.ndarray) -> np.ndarray:
 def fit(mu: np.ndarray, mp: np.ndarray, nu: float, np_: float, prior: float) -> np.ndarray:
     """Weights minimising the non-negative risk, from the moment matrices of U and P (constant in row 0)."""
     a, b = mu / nu, mp / np_
-    reg = RIDGE * np.eye(DIM)
+    reg = (RIDGE + 2 / np_) * np.eye(DIM)
     w = np.linalg.solve(a + reg, 2 * prior * b[0] - a[0])  # where the unbiased risk is least
     negative = lambda w: ((w @ a @ w + 2 * a[0] @ w + 1) - prior * (w @ b @ w + 2 * b[0] @ w + 1)) / 4
     if negative(w) >= 0:
