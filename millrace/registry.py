@@ -1,2 +1,13 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""The catalogue: every query of the engine with, where SQL can say it, its oracle."""
+
+from __future__ import annotations
+
+from .declare import ORACLES, QUERIES
+from .functions import extension, scalar
+from .operators import control, exchange, integrity, metrics, placement, relational
+from .sources import framed
+from .streaming import twins
+
+MODULES = (exchange, integrity, placement, control, metrics, relational, scalar, extension, framed, twins)
+
+__all__ = ["MODULES", "ORACLES", "QUERIES"]
