@@ -9,7 +9,8 @@
 3. Links are confirmed on the full sets.  A key's members are first tested against the smallest id
    (a star, not all pairs) and joined into components.  Every pair of a key that is then still in
    different components is tested too, unless it cannot reach the threshold: of two sets that reach it,
-   the rarest few shingles (in one global order) must meet, so only pairs sharing one are emitted.
+   the rarest few shingles (in one global order) must meet, so only pairs sharing one are emitted, and
+   of them only those with enough shingles left from there on.
 """
 
 from __future__ import annotations
@@ -196,30 +197,37 @@ def _rarest(slot_counts: np.ndarray, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = U(len(slot_counts))
         for batch in batches:
-            keys, which = [], []
+            keys, which, ranks, sizes = [], [], [], []
             for i, x in enumerate(batch.column(2)):
                 h = np.frombuffer(x.as_buffer(), U)
                 n = len(h) - -(-percent * len(h) // 100) + 1
                 order = np.lexsort((h, slot_counts[(h % slots).astype(np.int64)]))[:n]
                 keys.append(h[order])
                 which.append(np.full(len(order), i))
+                ranks.append(np.arange(len(order)))
+                sizes.append(np.full(len(order), len(h)))
             if keys:
                 at = pa.array(np.concatenate(which))
-                yield pa.RecordBatch.from_arrays([flat.signed(np.concatenate(keys)), batch.column(0).take(at), batch.column(1).take(at)], names=["shingle", "rep", "component"])
+                yield pa.RecordBatch.from_arrays([flat.signed(np.concatenate(keys)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(ranks)), pa.array(np.concatenate(sizes))], names=["shingle", "rep", "component", "rank", "size"])
 
     return run
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shingle, component, rep): pairs of one shingle in different components,
-    emitted in slices; a shingle with a single component gives none."""
+def _across(percent: int):
+    """Rows sorted by (shingle, component, rep): pairs of one shingle in different components that can
+    still reach the threshold, in slices.  If this is the first shingle they share in the global order, what
+    follows it bounds their intersection; a pair that shares an earlier one is judged there."""
 
-    def pairs(rep: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(rep: np.ndarray, comp: np.ndarray, rank: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         if comp[0] == comp[-1]:
             return
+        left = size - rank  # of each set, from this shingle on
         ends = np.searchsorted(comp, comp, "right")  # partners of row i: from ends[i] on
-        for a in range(len(rep)):
-            other = rep[ends[a] :]
+        for a in np.flatnonzero(ends < len(rep)).tolist():
+            b = slice(ends[a], None)
+            most = np.minimum(left[a], left[b])
+            fit = (100 + percent) * most >= percent * (size[a] + size[b])
+            other = rep[b][fit]
             if len(other):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, rep[a])), pa.array(np.maximum(other, rep[a]))], names=["a", "b"])
 
@@ -234,24 +242,23 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    def groups() -> Iterator[pa.RecordBatch]:
-        key, reps, comps = None, [], []
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
         for batch in batches:
-            k, r, c = (x.to_numpy() for x in batch.columns)
+            k, *rest = (x.to_numpy() for x in batch.columns)
             if not len(k):
                 continue
             cuts = np.r_[0, np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if k[a] != key:
-                    if reps:
-                        yield from pairs(np.concatenate(reps), np.concatenate(comps))
-                    key, reps, comps = k[a], [], []
-                reps.append(r[a:b])
-                comps.append(c[a:b])
-        if reps:
-            yield from pairs(np.concatenate(reps), np.concatenate(comps))
+                    if held:
+                        yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    key, held = k[a], []
+                held.append([x[a:b] for x in rest])
+        if held:
+            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    yield from merged(groups())
+    return lambda batches: merged(groups(batches))
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -290,8 +297,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = rest.select("hashes").mapInArrow(_slot_counts(slots), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(slots, np.int64)
     counts[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    rare = rest.mapInArrow(_rarest(counts, percent), "shingle long, rep long, component long")
-    pairs = rare.repartition("shingle").sortWithinPartitions("shingle", "component", "rep").mapInArrow(_across, "a long, b long").distinct()
+    rare = rest.mapInArrow(_rarest(counts, percent), "shingle long, rep long, component long, rank long, size long")
+    pairs = rare.repartition("shingle").sortWithinPartitions("shingle", "component", "rep").mapInArrow(_across(percent), "a long, b long").distinct()
     more = _confirmed(pairs, rest.select("rep", "hashes"), percent)
     linked = cut(links.union(more), "links")
     final = components(linked)
