@@ -10,7 +10,7 @@
    (a star, not all pairs) and joined into components.  Every pair of a key that is then still in
    different components is tested too, unless it cannot reach the threshold: of two sets that reach it,
    the rarest few shingles (in one global order) must meet, so only pairs sharing one are emitted, and
-   of them only those with enough shingles left from there on.
+   of them only those with enough shingles left from there on and with bitmaps alike enough.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .flat import U
 from .scratch import cut, discard, salted_left_join, small_batches
 
 SYMBOLS, BITS = 5, 16
+#: Bits of a set's parity bitmap: bit i is odd if an odd number of its shingles hash to i.
+PARITY_BITS = 1024
 #: Allowed chance that a pair just at the threshold shares no key.
 MISS = 3e-5
 _rng = np.random.Generator(np.random.PCG64(4))
@@ -197,7 +199,7 @@ def _rarest(slot_counts: np.ndarray, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = U(len(slot_counts))
         for batch in batches:
-            keys, which, ranks, sizes = [], [], [], []
+            keys, which, ranks, sizes, maps = [], [], [], [], []
             for i, x in enumerate(batch.column(2)):
                 h = np.frombuffer(x.as_buffer(), U)
                 n = len(h) - -(-percent * len(h) // 100) + 1
@@ -206,9 +208,11 @@ def _rarest(slot_counts: np.ndarray, percent: int):
                 which.append(np.full(len(order), i))
                 ranks.append(np.arange(len(order)))
                 sizes.append(np.full(len(order), len(h)))
+                odd = np.bincount((h >> U(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+                maps.append(np.packbits(odd.astype(bool)).tobytes())
             if keys:
                 at = pa.array(np.concatenate(which))
-                yield pa.RecordBatch.from_arrays([flat.signed(np.concatenate(keys)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(ranks)), pa.array(np.concatenate(sizes))], names=["shingle", "rep", "component", "rank", "size"])
+                yield pa.RecordBatch.from_arrays([flat.signed(np.concatenate(keys)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(ranks)), pa.array(np.concatenate(sizes)), pa.array(maps, pa.binary()).take(at)], names=["shingle", "rep", "component", "rank", "size", "parity"])
 
     return run
 
@@ -216,18 +220,22 @@ def _rarest(slot_counts: np.ndarray, percent: int):
 def _across(percent: int):
     """Rows sorted by (shingle, component, rep): pairs of one shingle in different components that can
     still reach the threshold, in slices.  If this is the first shingle they share in the global order, what
-    follows it bounds their intersection; a pair that shares an earlier one is judged there."""
+    follows it bounds their intersection; a pair that shares an earlier one is judged there.  And two sets differ
+    in at least as many shingles as their parity bitmaps do in bits."""
 
-    def pairs(rep: np.ndarray, comp: np.ndarray, rank: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(rep: np.ndarray, comp: np.ndarray, rank: np.ndarray, size: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
         if comp[0] == comp[-1]:
             return
+        bits = np.frombuffer(b"".join(parity.tolist()), U).reshape(len(rep), -1)
         left = size - rank  # of each set, from this shingle on
         ends = np.searchsorted(comp, comp, "right")  # partners of row i: from ends[i] on
         for a in np.flatnonzero(ends < len(rep)).tolist():
             b = slice(ends[a], None)
             most = np.minimum(left[a], left[b])
             fit = (100 + percent) * most >= percent * (size[a] + size[b])
-            other = rep[b][fit]
+            at = np.flatnonzero(fit) + int(ends[a])
+            differ = np.bitwise_count(bits[at] ^ bits[a]).sum(1)
+            other = rep[at[(100 + percent) * differ <= (100 - percent) * (size[a] + size[at])]]
             if len(other):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, rep[a])), pa.array(np.maximum(other, rep[a]))], names=["a", "b"])
 
@@ -245,7 +253,7 @@ def _across(percent: int):
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            k, *rest = (x.to_numpy() for x in batch.columns)
+            k, *rest = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
             if not len(k):
                 continue
             cuts = np.r_[0, np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)]
@@ -297,7 +305,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = rest.select("hashes").mapInArrow(_slot_counts(slots), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(slots, np.int64)
     counts[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    rare = rest.mapInArrow(_rarest(counts, percent), "shingle long, rep long, component long, rank long, size long")
+    rare = rest.mapInArrow(_rarest(counts, percent), "shingle long, rep long, component long, rank long, size long, parity binary")
     pairs = rare.repartition("shingle").sortWithinPartitions("shingle", "component", "rep").mapInArrow(_across(percent), "a long, b long").distinct()
     more = _confirmed(pairs, rest.select("rep", "hashes"), percent)
     linked = cut(links.union(more), "links")
