@@ -1,7 +1,8 @@
 """The distributed half of ``windows``: from anchor rows to the spans that repeated windows cover.
 
-An anchor row is (fp, around, doc_id, packed): hash of the anchor's own tokens, hash of its
-surroundings, the document, and position, window starts and copies in one long.
+An anchor row is (fp, around, doc_id, packed, halves): hash of the anchor's own tokens, hash of its
+surroundings, the document, position, window starts and copies in one long, and hashes of both halves of
+the surroundings in one int.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from . import flat, windows
 from .flat import U
 from .scratch import cut
 
-ROWS = "fp long, around long, doc_id long, packed long"
-MARKS = "kind int, doc_id long, pos long, first long, last long, fp long"
+ROWS = "fp long, around long, doc_id long, packed long, halves int"
+MARKS = "kind int, doc_id long, pos long, first long, last long, fp long, halves int"
 DECIDED = 0  # copies of a row whose windows are known to repeat
 
 
@@ -32,15 +33,15 @@ def unpack(packed):
     return pos, first, first + ((packed >> 6) & 0xFFF), packed & 0x3F
 
 
-def anchor_batch(doc_id: np.ndarray, pos, first, last, fp, around, everywhere: bool) -> pa.RecordBatch:
+def anchor_batch(doc_id: np.ndarray, pos, first, last, fp, around, halves) -> pa.RecordBatch:
     """Rows of one batch, combined: of equal (fp, around) only the first occurrence goes on to be
     compared; the rest are decided here.  So a passage that is in a third of all documents
     gives each shuffle partition a row per batch, not a row per document."""
     order = np.lexsort((pos, doc_id, around, fp))
-    doc_id, pos, first, last, fp, around = (x[order] for x in (doc_id, pos, first, last, fp, around))
+    doc_id, pos, first, last, fp, around, halves = (x[order] for x in (doc_id, pos, first, last, fp, around, halves))
     n = len(fp)
     if not n:
-        return _rows(fp, around, doc_id, pos)
+        return _rows(fp, around, doc_id, pos, halves)
     new = np.ones(n, bool)
     new[1:] = (fp[1:] != fp[:-1]) | (around[1:] != around[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -50,32 +51,33 @@ def anchor_batch(doc_id: np.ndarray, pos, first, last, fp, around, everywhere: b
     copies = np.where(same, np.where(twins[head], 2, 1), DECIDED)
     # decided rows need no company: any partition will do
     fp = np.where(same, fp, flat.mix(doc_id.astype(U) * U(0x9E3779B97F4A7C15) + pos.astype(U)))
-    return _rows(fp, around, doc_id, pack(pos, first, last, copies))
+    return _rows(fp, around, doc_id, pack(pos, first, last, copies), halves)
 
 
-def _rows(fp, around, doc_id, packed) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([flat.signed(fp), flat.signed(around), pa.array(doc_id, pa.int64()), pa.array(packed, pa.int64())], names=["fp", "around", "doc_id", "packed"])
+def _rows(fp, around, doc_id, packed, halves) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([flat.signed(fp), flat.signed(around), pa.array(doc_id, pa.int64()), pa.array(packed, pa.int64()), pa.array(halves, pa.int32())], names=["fp", "around", "doc_id", "packed", "halves"])
 
 
 def classify(everywhere: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by (fp, around, doc_id, packed), streaming with a carry of a few rows.
 
     kind 0: windows that certainly repeat - equal surroundings were seen earlier (``everywhere``: or later).
+    (Neither ``fp`` nor ``halves`` are given for these.)
     kind 1: the first occurrence of each of several different surroundings of one anchor: some of their
     windows may be equal and are compared one by one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None  # fp, around, doc, packed, told as kind 1, told as kind 0
+        carry = None  # fp, around, doc, packed, halves, told as kind 1, told as kind 0
         for batch in batches:
-            fp, around, doc, packed = (c.to_numpy() for c in batch.columns)
+            fp, around, doc, packed, halves = (c.to_numpy() for c in batch.columns)
             done = (packed & 0x3F) == DECIDED
-            out = [(np.zeros(int(done.sum()), np.int32), doc[done], packed[done], fp[done])]
+            out = [(np.zeros(int(done.sum()), np.int32), doc[done], packed[done], fp[done] * 0, halves[done] * 0)]
             live = ~done
-            rows = [fp[live], around[live], doc[live], packed[live], np.zeros(int(live.sum()), bool), np.zeros(int(live.sum()), bool)]
+            rows = [fp[live], around[live], doc[live], packed[live], halves[live], np.zeros(int(live.sum()), bool), np.zeros(int(live.sum()), bool)]
             if carry is not None:
                 rows = [np.concatenate(x) for x in zip(carry, rows, strict=True)]
-            fp, around, doc, packed, told1, told0 = rows
+            fp, around, doc, packed, halves, told1, told0 = rows
             n = len(fp)
             if n:
                 at = np.arange(n)
@@ -93,14 +95,14 @@ def classify(everywhere: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                     multi[head[~rep | ((packed & 0x3F) > 1)]] = True
                     kind0 |= rep & multi[head] & ~told0
                 for kind, pick in ((0, kind0), (1, kind1)):
-                    out.append((np.full(int(pick.sum()), kind, np.int32), doc[pick], packed[pick], fp[pick]))
+                    out.append((np.full(int(pick.sum()), kind, np.int32), doc[pick], packed[pick], fp[pick] * kind, halves[pick] * kind))
                 told1, told0 = told1 | kind1, told0 | kind0
                 begin = int(np.flatnonzero(new_fp)[-1])
                 hold = rep & (at >= begin) & ((head == begin) | (head == head[-1]))
-                carry = [x[hold] for x in (fp, around, doc, packed, told1, told0)]
-            kind, doc, packed, fp = (np.concatenate(x) for x in zip(*out, strict=True))
+                carry = [x[hold] for x in (fp, around, doc, packed, halves, told1, told0)]
+            kind, doc, packed, fp, halves = (np.concatenate(x) for x in zip(*out, strict=True))
             pos, first, last, _ = unpack(packed)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, (doc, pos, first, last, fp))], names=["kind", "doc_id", "pos", "first", "last", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, (doc, pos, first, last, fp, halves))], names=["kind", "doc_id", "pos", "first", "last", "fp", "halves"])
 
     return run
 
@@ -155,16 +157,31 @@ def _equal_windows(everywhere: bool):
     return run
 
 
-def compared(marks: DataFrame, docs: DataFrame, tokens: Callable, depth: int, everywhere: bool) -> DataFrame:
+def narrowed(marks: DataFrame, depth: int, k: int) -> DataFrame:
+    """Kind 1 rows (doc_id, first, last), cut to the windows that can be equal to one of another row of their
+    anchor: those holding a half of the surroundings that another row has too."""
+    half = (depth - k) // 2
+    one = marks.where("kind = 1").withColumns({"left": F.shiftrightunsigned("halves", 16), "right": F.col("halves").bitwiseAND(F.lit(0xFFFF))})
+    for side in ("left", "right"):
+        shared = one.groupBy("fp", side).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", side, F.lit(True).alias(f"{side}_shared"))
+        one = one.join(shared, ["fp", side], "left")
+    left, right = F.coalesce("left_shared", F.lit(False)), F.coalesce("right_shared", F.lit(False))
+    # a window that starts at least ``half`` before the anchor holds the left half; one that starts less before, the right
+    first = F.when(left, F.col("first")).otherwise(F.greatest("first", F.col("pos") - half + 1))
+    last = F.when(right, F.col("last")).otherwise(F.least("last", F.col("pos") - half))
+    return one.where(left | right).select("doc_id", first.alias("first"), last.alias("last")).where("first <= last")
+
+
+def compared(marks: DataFrame, docs: DataFrame, tokens: Callable, depth: int, k: int, everywhere: bool) -> DataFrame:
     """(doc_id, first) of the windows of kind 1 rows that are equal to a window elsewhere."""
-    asked = marks.where("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("asked"))
+    asked = narrowed(marks, depth, k).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("asked"))
     rows = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_window_rows(tokens, depth), "h1 long, h2 long, doc_id long, start long")
     return rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "start").mapInArrow(_equal_windows(everywhere), "doc_id long, first long")
 
 
-def spans_by_doc(marks: DataFrame, docs: DataFrame, tokens: Callable, depth: int, everywhere: bool) -> DataFrame:
+def spans_by_doc(marks: DataFrame, docs: DataFrame, tokens: Callable, depth: int, k: int, everywhere: bool) -> DataFrame:
     """(doc_id, spans): the [first, end) token spans of each document that repeated windows cover."""
     certain = marks.where("kind = 0").select("doc_id", "first", (F.col("last") + depth).alias("end"))
-    one_by_one = cut(compared(marks, docs, tokens, depth, everywhere), "windows")
+    one_by_one = cut(compared(marks, docs, tokens, depth, k, everywhere), "windows")
     every = certain.union(one_by_one.select("doc_id", "first", (F.col("first") + depth).alias("end")))
     return every.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))

@@ -49,11 +49,11 @@ def _anchors(depth: int, k: int):
                 for load, to, lo, hi, asked in parts:
                     own = h[load:to]
                     first, last = (lo, hi) if asked is None else (np.array([asked[0]]), np.array([asked[1]]))
-                    seg, pos, s, e, fp, around = windows.anchors(own, flat.mix(own ^ U(0x5851F42D4C957F2D)), lo, hi, first, last, depth, k)
+                    seg, pos, s, e, fp, around, halves = windows.anchors(own, flat.mix(own ^ U(0x5851F42D4C957F2D)), lo, hi, first, last, depth, k)
                     shift = lo[seg] if asked is None else rows[a] - load
-                    found.append((ids[a:b][seg], pos - shift, s - shift, e - shift, fp, around))
+                    found.append((ids[a:b][seg], pos - shift, s - shift, e - shift, fp, around, halves))
             if found:
-                yield repeats.anchor_batch(*(np.concatenate(x) for x in zip(*found, strict=True)), everywhere=True)
+                yield repeats.anchor_batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return run
 
@@ -88,8 +88,8 @@ class FingerprintIndex:
     def add(self, anchors: DataFrame) -> list[DataFrame]:
         """``anchors``: rows of one batch.  Returns tables of marks; kind 2 rows met another batch's."""
         self._compact()
-        seen = cut(anchors.repartition(self.buckets, "fp").sortWithinPartitions("fp", "around", "doc_id", "packed").mapInArrow(_runs_and_marks, "to_run boolean, kind int, fp long, around long, doc_id long, packed long"), "batch")
-        name = self._write(seen.where("to_run").select("fp", "around", "doc_id", "packed").repartition(self.buckets, "fp"))
+        seen = cut(anchors.repartition(self.buckets, "fp").sortWithinPartitions("fp", "around", "doc_id", "packed").mapInArrow(_runs_and_marks, "to_run boolean, kind int, fp long, around long, doc_id long, packed long, halves int"), "batch")
+        name = self._write(seen.where("to_run").select("fp", "around", "doc_id", "packed", "halves").repartition(self.buckets, "fp"))
         new = self.spark.table(name)
         met = []
         for _, t in self.runs:
@@ -97,12 +97,12 @@ class FingerprintIndex:
             met.append(new.join(old.select("fp"), "fp", "left_semi"))
             met.append(old.join(new.select("fp"), "fp", "left_semi"))
         self.runs.append((0, name))
-        out = [seen.where("not to_run").select("kind", "fp", "around", "doc_id", "packed")]
+        out = [seen.where("not to_run").select("kind", "fp", "around", "doc_id", "packed", "halves")]
         if met:
             rows = met[0]
             for m in met[1:]:
                 rows = rows.union(m)
-            out.append(cut(rows.select(F.lit(2).alias("kind"), "fp", "around", "doc_id", "packed"), "met"))
+            out.append(cut(rows.select(F.lit(2).alias("kind"), "fp", "around", "doc_id", "packed", "halves"), "met"))
         return out
 
     def drop(self) -> None:
@@ -118,7 +118,7 @@ def _runs_and_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     def keep() -> Iterator[pa.RecordBatch]:
         nonlocal held
         for batch in batches:
-            fp, around, doc, packed = (c.to_numpy() for c in batch.columns)
+            fp, around, doc, packed, halves = (c.to_numpy() for c in batch.columns)
             live = (packed & 0x3F) != repeats.DECIDED
             f, a, d, p = fp[live], around[live], doc[live], packed[live]
             n = len(f)
@@ -132,27 +132,27 @@ def _runs_and_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 first_pos = np.where(head >= 0, p[np.maximum(head, 0)] >> 30, held[3] if held is not None else 0)
                 rep = (d == first_doc) & (p >> 30 == first_pos)
                 held = (f[-1], a[-1], first_doc[-1], first_pos[-1])
-                queue.append((f[rep], a[rep], d[rep], p[rep]))
+                queue.append((f[rep], a[rep], d[rep], p[rep], halves[live][rep]))
             yield batch
 
     queue: list = []
     for marks in repeats.classify(True)(keep()):
-        for f, a, d, p in queue:
-            yield _tagged(True, np.zeros(len(f), np.int32), f, a, d, p)
+        for f, *rest in queue:
+            yield _tagged(True, np.zeros(len(f), np.int32), f, *rest)
         queue.clear()
-        kind, doc, pos, first, last, fp = (c.to_numpy() for c in marks.columns)
-        yield _tagged(False, kind, fp, np.zeros(len(fp), np.int64), doc, repeats.pack(pos, first, last, 1))
+        kind, doc, pos, first, last, fp, halves = (c.to_numpy() for c in marks.columns)
+        yield _tagged(False, kind, fp, np.zeros(len(fp), np.int64), doc, repeats.pack(pos, first, last, 1), halves)
 
 
-def _tagged(to_run: bool, kind, fp, around, doc, packed) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), to_run)), pa.array(kind), *map(pa.array, (fp, around, doc, packed))], names=["to_run", "kind", "fp", "around", "doc_id", "packed"])
+def _tagged(to_run: bool, kind, fp, around, doc, packed, halves) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), to_run)), pa.array(kind), *map(pa.array, (fp, around, doc, packed, halves))], names=["to_run", "kind", "fp", "around", "doc_id", "packed", "halves"])
 
 
 def _unpacked(rows: DataFrame) -> DataFrame:
     pos = F.shiftright("packed", 30)
     first = pos - F.shiftright("packed", 18).bitwiseAND(F.lit(0xFFF))
     last = first + F.shiftright("packed", 6).bitwiseAND(F.lit(0xFFF))
-    return rows.select("kind", "doc_id", pos.alias("pos"), first.alias("first"), last.alias("last"), "fp")
+    return rows.select("kind", "doc_id", pos.alias("pos"), first.alias("first"), last.alias("last"), "fp", "halves")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,11 +201,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = met[0]
         for m in met[1:]:
             rows = rows.union(m)
-        across = rows.select("fp", "around", "doc_id", "packed").distinct()
+        across = rows.select("fp", "around", "doc_id", "packed", "halves").distinct()
         marks = marks.union(repeats.sorted_classes(across, True))
     marks = cut(marks.distinct(), "marks")
     index.drop()
-    return repeats.spans_by_doc(marks, docs, word_tokens, depth, True)
+    return repeats.spans_by_doc(marks, docs, word_tokens, depth, k, True)
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 35, k: int = ANCHOR, batches: int = BATCHES) -> DataFrame:

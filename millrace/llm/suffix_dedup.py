@@ -8,7 +8,8 @@ repeated strings.  So that sparse passes suffice, a suffix's digits are read fro
 * pass 1 - the anchor's ``k`` bytes deal the suffixes to buckets (a shuffle by their hash);
 * pass 2 - within a bucket, the whole neighbourhood of the anchor: groups equal in it are equal in every
   suffix dealt by it, and are decided as a whole;
-* pass 3 - only for buckets with several neighbourhoods: all ``depth`` bytes of each of their suffixes.
+* pass 3 - only for buckets with several neighbourhoods, and there only for suffixes that hold a half of
+  theirs in common with another: all ``depth`` bytes.
 
 Digits are compared as 128-bit digests.
 """
@@ -45,16 +46,16 @@ def _anchors(depth: int, k: int):
                     base = offsets[a]
                     part = data[base : offsets[b]]
                     lo, hi = offsets[a:b] - base, offsets[a + 1 : b + 1] - base
-                    seg, pos, first, last, fp, around = windows.anchors(flat.BYTE[part], flat.BYTE_TOO[part], lo, hi, lo, hi, depth, k)
-                    found.append((ids[a:b][seg], pos - lo[seg], first - lo[seg], last - lo[seg], fp, around))
+                    seg, pos, first, last, fp, around, halves = windows.anchors(flat.BYTE[part], flat.BYTE_TOO[part], lo, hi, lo, hi, depth, k)
+                    found.append((ids[a:b][seg], pos - lo[seg], first - lo[seg], last - lo[seg], fp, around, halves))
                     continue
                 for load, to, first, last in windows.spans(int(offsets[b] - offsets[a]), depth, k, flat.CHUNK):
                     part = data[offsets[a] + load : offsets[a] + to]
                     one = lambda x: np.array([x])
-                    seg, pos, s, e, fp, around = windows.anchors(flat.BYTE[part], flat.BYTE_TOO[part], one(0), one(len(part)), one(first - load), one(last - load), depth, k)
-                    found.append((ids[a : a + 1][seg], pos + load, s + load, e + load, fp, around))
+                    seg, pos, s, e, fp, around, halves = windows.anchors(flat.BYTE[part], flat.BYTE_TOO[part], one(0), one(len(part)), one(first - load), one(last - load), depth, k)
+                    found.append((ids[a : a + 1][seg], pos + load, s + load, e + load, fp, around, halves))
             if found:
-                yield repeats.anchor_batch(*(np.concatenate(x) for x in zip(*found, strict=True)), everywhere=False)
+                yield repeats.anchor_batch(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return run
 
@@ -87,7 +88,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     marks = cut(repeats.sorted_classes(docs.mapInArrow(_anchors(depth, k), repeats.ROWS), False), "marks")
-    return repeats.spans_by_doc(marks, docs, byte_tokens, depth, False)
+    return repeats.spans_by_doc(marks, docs, byte_tokens, depth, k, False)
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 100, k: int = ANCHOR) -> DataFrame:

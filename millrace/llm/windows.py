@@ -32,12 +32,13 @@ def anchors(one: np.ndarray, two: np.ndarray, lo: np.ndarray, hi: np.ndarray, fi
 
     Segment i has tokens [lo, hi) and asks for the windows starting in [first, last).  Returns, per anchor:
     segment, position, first and last start of its windows, hash of its k tokens, hash of its
-    surroundings (every token that a window dealt by it could hold).
+    surroundings (every token that a window dealt by it could hold), and 16 bits each of the hashes of the
+    ``(depth - k) // 2`` tokens before and after it: every window dealt by it holds one of these halves.
     """
     last = np.minimum(last, hi - depth + 1)
     good = np.flatnonzero(last > first)
     if not len(good):
-        return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.int64, U, U))
+        return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.int64, U, U, np.int32))
     pre, pre_two = flat.prefix(one), flat.prefix(two, POWERS_TOO)
     at = np.arange(len(one) - k + 1)
     grams = flat.ranged(pre, at, at + k)
@@ -54,7 +55,11 @@ def anchors(one: np.ndarray, two: np.ndarray, lo: np.ndarray, hi: np.ndarray, fi
     seg, pos = seg[begin], pos[begin]
     left, right = np.maximum(lo[seg], pos - (depth - k)), np.minimum(hi[seg], pos + depth)
     around = flat.ranged(pre_two, left, right, POWERS_TOO) ^ flat.mix((pos - left).astype(U) * U(0x2545F4914F6CDD1D))
-    return seg, pos, start[begin], start[end], grams[pos], around
+    half = (depth - k) // 2
+    halves = []
+    for a, b in ((np.maximum(lo[seg], pos - half), pos), (pos + k, np.minimum(hi[seg], pos + k + half))):
+        halves.append(flat.ranged(pre_two, a, b, POWERS_TOO) & U(0xFFFF))
+    return seg, pos, start[begin], start[end], grams[pos], around, ((halves[0] << U(16)) | halves[1]).astype(np.uint32).view(np.int32)
 
 
 def spans(length: int, depth: int, k: int, size: int) -> Iterator[tuple[int, int, int, int]]:
