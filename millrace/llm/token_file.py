@@ -129,17 +129,19 @@ class Encoder:
         starts = pretoken_starts(data, rows)
         ends = np.r_[starts[1:], len(data)]
         h = flat.ranged(flat.prefix(flat.BYTE[data]), starts, ends) | U(1)
-        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if self.n + len(unique) > CACHE_SLOTS // 2:
-            self._clear()
-        slots = self._slots(unique)
+        slots = self._slots(h)
         new = np.flatnonzero(self.keys[slots] == 0)
         if len(new):
+            unique, first = np.unique(h[new], return_index=True)
+            if self.n + len(unique) > CACHE_SLOTS // 2:
+                self._clear()
+                new = np.arange(len(h))
+                unique, first = np.unique(h, return_index=True)
             raw = data.tobytes()
-            s, e = starts[first[new]].tolist(), ends[first[new]].tolist()
-            self._learn(unique[new], [raw[a:b].decode() for a, b in zip(s, e, strict=True)])
-            slots = self._slots(unique)
-        known = self.where[slots][inverse]
+            s, e = starts[new[first]].tolist(), ends[new[first]].tolist()
+            self._learn(unique, [raw[a:b].decode() for a, b in zip(s, e, strict=True)])
+            slots[new] = self._slots(h[new])
+        known = self.where[slots]
         begin, size = self.begin[known], self.size[known]
         total = np.cumsum(size)
         ids = self.ids[np.repeat(begin - (total - size), size) + np.arange(int(total[-1]))]
