@@ -1,40 +1,48 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-Symbols of the tree are the frequent words (at least ``SYMBOL_SHARE`` of all training tokens), the end of a
-text, and one symbol for all other words.  A context of 1 to ``DEPTH`` symbols is a state if it is at least
-``STATE_SHARE`` of all positions and its next-symbol distribution diverges enough from that of its
-suffix; the suffixes of a state are states.  Each distribution is smoothed towards that of the suffix, and
-a symbol is scored in the longest state that its past ends in.
-
-Inside the symbol of other words, a word has its discounted share; what the discounts free goes to
-unknown words.  As in the add-one base, words that training documents lack are one symbol, so both are
-distributions over the V known words and that one.
+Symbols of the tree are all words of training documents, the end of a text, and one symbol for all words that they
+lack.  A context of 1 to ``DEPTH`` symbols is a state if it occurs at least ``LEAST`` times and its
+next-symbol distribution diverges enough from that of its suffix; the suffixes of a state are states.  Each
+distribution is smoothed towards that of the suffix, that of no context is the add-one base, and a symbol is
+scored in the longest state that its past ends in.
+
+Symbols and states grow with the corpus and are never gathered: positions are dealt by the word before them,
+so all contexts that end in that word, their counts and the positions they score meet in one bucket.  A word with
+more positions than a bucket is dealt with the word before it, too; its own counts are summed first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .scratch import cut, small_batches
+from .scratch import cut, discard, small_batches
 
 DEPTH, BITS = 3, 10
-#: Words of a smaller share are no symbols of their own: there are at most 1 / SYMBOL_SHARE.
-SYMBOL_SHARE = 1e-3
-#: A context of a smaller share is no state: there are at most 1 / STATE_SHARE states of each length.
-STATE_SHARE = 1e-5
+#: Occurrences of a state.
+LEAST = 2
+#: Positions of a bucket, about.
+BUCKET = 1 << 19
+#: Buckets are dealt in so many rounds, each of which reads all texts, so that less lies on disk at once.
+ROUNDS = 2
+#: Positions that a task deals out at once.
+DEALT = 1 << 20
 #: Words of at least this share, at most 1 / FREQUENT, go to every task with their counts; the rest are joined.
 FREQUENT = 5e-7
 HELD_OUT = 2  # of crc32(id) mod 7
 END_WORD = b"\n"
+SUMS = ("n_tokens", "n_known", "base", "score")
 START, END, OTHER, FIRST = 0, 1, 2, 3
 MASK = (1 << BITS) - 1
+START_HASH = flat.mix(np.array([0x5354415254], flat.U))[0]
 END_HASH = flat.ranged(flat.prefix(flat.BYTE[np.frombuffer(END_WORD, np.uint8)]), np.array([0]), np.array([1]))[0]
 
 
@@ -43,11 +51,10 @@ def held_out(id_col: str) -> Column:
 
 
 def _merged(held: list) -> tuple:
-    """Counts of several parts as one: (key, n) or (key, n, name)."""
+    """Counts (key, n) of several parts as one."""
     key, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-    unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    rest = (pa.concat_arrays([x[2] for x in held]).take(pa.array(first)),) if len(held[0]) > 2 else ()
-    return unique, np.bincount(inverse, n).astype(np.int64), *rest
+    unique, inverse = np.unique(key, return_inverse=True)
+    return unique, np.bincount(inverse, n).astype(np.int64)
 
 
 def _gathered(parts: Iterator[tuple], bound: int = 1_000_000) -> Iterator[tuple]:
@@ -66,39 +73,14 @@ def _gathered(parts: Iterator[tuple], bound: int = 1_000_000) -> Iterator[tuple]
         yield _merged(held)
 
 
-def names_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    raw = flat.LOWER[data].tobytes()
-    return pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def parts() -> Iterator[tuple]:
         for batch in batches:
-            data, offsets = flat.texts(batch.column(0))
-            h, start, end, _ = flat.word_hashes(data, offsets, lower=True)
-            key, first, n = np.unique(h, return_index=True, return_counts=True)
-            yield key, n, names_of(data, start[first], end[first])
-            yield np.array([END_HASH]), np.array([batch.num_rows]), pa.array([END_WORD], pa.binary())
-
-    for _, n, names in _gathered(parts()):
-        for a in range(0, len(n), 100_000):
-            yield pa.RecordBatch.from_arrays([names.slice(a, 100_000), pa.array(n[a : a + 100_000])], names=["word", "n"])
-
+            yield np.unique(flat.word_hashes(*flat.texts(batch.column(0)), lower=True)[0], return_counts=True)
+            yield np.array([END_HASH]), np.array([batch.num_rows])
 
-class Known(NamedTuple):
-    """Frequent words by hash: their counts, and their symbols (OTHER if they are none)."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-    symbols: np.ndarray
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not len(self.hashes):
-            return np.zeros(len(h), bool), np.zeros(len(h)), np.full(len(h), OTHER)
-        unique, inverse = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, unique), len(self.hashes) - 1)
-        hit = self.hashes[at] == unique
-        return hit[inverse], np.where(hit, self.counts[at], 0)[inverse], np.where(hit, self.symbols[at], OTHER)[inverse]
+    for key, n in _gathered(parts()):
+        yield pa.RecordBatch.from_arrays([flat.signed(key), pa.array(n)], names=["word", "n"])
 
 
 def windows_of(symbols: np.ndarray, rows: np.ndarray, end_symbol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,23 +100,10 @@ def windows_of(symbols: np.ndarray, rows: np.ndarray, end_symbol: int) -> tuple[
     return out, place[at], place[ends]
 
 
-def _gram_counts(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-
-        def parts() -> Iterator[tuple]:
-            for batch in batches:
-                h, _, _, rows = flat.word_hashes(*flat.texts(batch.column(0)), lower=True)
-                yield np.unique(windows_of(known.find(h)[2], rows, END)[0], return_counts=True)
-
-        for key, n in _gathered(parts()):
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["gram", "n"])
-
-    return run
-
-
 class Tree(NamedTuple):
-    """By length of context: sorted states, log10 of the weight of their suffix, sorted (state, symbol), log10 p."""
+    """The tree of one small alphabet, in memory: what the tables of ``lm_scores`` amount to.
+
+    By length of context: sorted states, log10 of the weight of their suffix, sorted (state, symbol), log10 p."""
 
     states: list[np.ndarray]
     weights: list[np.ndarray]
@@ -201,74 +170,275 @@ def build_tree(counts: list[tuple[np.ndarray, np.ndarray]], alphabet: int) -> Tr
     return tree
 
 
-def tree_of(grams: DataFrame, total: int, alphabet: int) -> Tree:
-    """The tree of a table of (gram, n): an aggregate of bounded size is gathered for each length."""
-    counts = []
-    for d in range(DEPTH + 1):
-        tail = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << BITS * (d + 1)) - 1)).alias("k")).agg(F.sum("n").alias("n"))
-        if d:
-            states = tail.groupBy(F.shiftright("k", BITS).alias("c")).agg(F.sum("n").alias("m")).where(F.col("m") >= max(1.0, STATE_SHARE * total)).select("c")
-            tail = tail.withColumn("c", F.shiftright("k", BITS)).join(states, "c", "left_semi").select("k", "n")
-        found = tail.toPandas()
-        counts.append((found["k"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
-    return build_tree(counts, alphabet)
+class Model(NamedTuple):
+    """Frequent words: hashes (ascending), their codes; by code hashes and counts (START and END are 0 and 1).
+    Words with more positions than a bucket: hashes (ascending), occurrences, kinds of next symbols, whether they diverge."""
+
+    words: np.ndarray
+    codes: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
+    buckets: int
+    total: float
+    hot: np.ndarray
+    hot_mass: np.ndarray
+    hot_kinds: np.ndarray
+    hot_ok: np.ndarray
+
+    def code(self, h: np.ndarray) -> np.ndarray:
+        """The code of each hash, -1 of words that are not frequent."""
+        unique, inverse = np.unique(h, return_inverse=True)
+        at, hit = found(self.words, unique)
+        return np.where(hit, self.codes[at], -1)[inverse] if len(self.words) else np.full(len(h), -1)
+
+    def bucket(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """By the word before, of hot words by the two words before."""
+        key = np.where(found(self.hot, one)[1], joined(one, two), one) if len(self.hot) else one
+        return (flat.mix(key) % flat.U(self.buckets)).astype(np.uint16 if self.buckets <= 1 << 16 else np.int32)
+
+
+def found(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each key in the ascending table, whether it is there)."""
+    if not len(table):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+    return at, table[at] == key
+
+
+def joined(a: np.ndarray, b: np.ndarray, mult: int = flat.MULT) -> np.ndarray:
+    return flat.mix(a * flat.U(mult) + b)
+
+
+class Positions(NamedTuple):
+    """Of each word and each end of some texts: hashes and codes of it and of the ``DEPTH`` before, and its text's row."""
 
+    hashes: list[np.ndarray]
+    codes: list[np.ndarray]
+    row: np.ndarray
 
-class Shares(NamedTuple):
-    """Shares inside OTHER: discount, its tokens and its words, V + N + 1 of the base."""
 
-    discount: float
-    tokens: int
-    words: int
-    base: float
+def positions_of(column: pa.Array, model: Model) -> Positions:
+    h, _, _, rows = flat.word_hashes(*flat.texts(column), lower=True)
+    n = len(rows) - 1
+    row = np.repeat(np.arange(n), np.diff(rows))
+    at = np.arange(len(h)) + (DEPTH + 1) * row + DEPTH
+    ends = rows[1:] + (DEPTH + 1) * np.arange(n) + DEPTH
+    laid = np.full(len(h) + (DEPTH + 1) * n, START_HASH, flat.U)
+    codes = np.zeros(len(laid), np.int32)
+    laid[at], laid[ends], codes[at], codes[ends] = h, END_HASH, model.code(h), 1
+    where = np.sort(np.r_[at, ends])
+    return Positions([laid[where - i] for i in range(DEPTH + 1)], [codes[where - i] for i in range(DEPTH + 1)], np.repeat(np.arange(n), np.diff(rows) + 1))
 
-    def log(self, c: np.ndarray) -> np.ndarray:
-        if not self.tokens:
-            return np.zeros(len(c))
-        return np.log10(np.where(c > 0, c - self.discount, self.discount * self.words) / self.tokens)
 
-    def column(self, c: Column) -> Column:
-        if not self.tokens:
-            return F.lit(0.0)
-        return F.log10(F.when(c > 0, c - F.lit(self.discount)).otherwise(F.lit(self.discount * self.words)) / F.lit(float(self.tokens)))
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``DEALT`` positions, at six bytes each."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size > 6 * DEALT:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _asked(shared):
+    """(bucket, null, s, 0) for each word s that is not frequent; (bucket, w, s, n) for words after a hot one, n times in training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in _several(batches):
+            train = ~batch.column(1).to_numpy(zero_copy_only=False)
+            x = positions_of(batch.column(2), model)
+            bucket = model.bucket(x.hashes[1], x.hashes[2])
+            rare = np.flatnonzero(x.codes[0] < 0)
+            _, first = np.unique(joined(x.hashes[0][rare], bucket[rare].astype(flat.U)), return_index=True)
+            rare = rare[first]
+            yield _facts(bucket[rare], pa.nulls(len(rare), pa.int64()), x.hashes[0][rare], np.zeros(len(rare), np.int64))
+            hot = np.flatnonzero(found(model.hot, x.hashes[1])[1])
+            _, first, inverse = np.unique(joined(joined(x.hashes[1][hot], x.hashes[0][hot]), bucket[hot].astype(flat.U)), return_index=True, return_inverse=True)
+            n = np.bincount(inverse, train[x.row[hot]], len(first)).astype(np.int64)
+            hot = hot[first]
+            yield _facts(bucket[hot], flat.signed(x.hashes[1][hot]), x.hashes[0][hot], n)
+
+    return run
+
+
+def _facts(bucket, w, s, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), w, flat.signed(s), pa.array(n)], names=["bucket", "w", "s", "n"])
+
+
+def _dealt(shared, turn: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in _several(batches):
+            ids, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            x = positions_of(batch.column(2), model)
+            bucket = model.bucket(x.hashes[1], x.hashes[2])
+            order = np.argsort(bucket, kind="stable")
+            order = order[bucket[order] % ROUNDS == turn]
+            if not len(order):
+                continue
+            cuts = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1, len(order)]
+            blocks = [_block(x, order[a:b], ids, held) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts[:-1]]].astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "body"])
+
+    return run
+
+
+def _block(x: Positions, at: np.ndarray, ids: np.ndarray, held: np.ndarray) -> bytes:
+    """Positions ``at``, by document: sizes, ids, held out or not, positions of each, codes in byte planes, hashes where there is no code."""
+    row, many = np.unique(x.row[at], return_counts=True)
+    parts = [ids[row].tobytes(), held[row].astype(np.uint8).tobytes(), many.astype(np.int32).tobytes()]
+    for h, code in zip(x.hashes, x.codes, strict=True):
+        c = code[at]
+        parts += [c.view(np.uint8).reshape(-1, 4).T.tobytes(), h[at[c < 0]].tobytes()]
+    raw = b"".join(parts)
+    return np.array([len(row), len(at), len(raw)], np.int64).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unblock(body: bytes, model: Model) -> tuple[np.ndarray, ...]:
+    """(document, held out, counts of the frequent symbols and -1, hashes of it and of those before)"""
+    rows, n, size = np.frombuffer(body, np.int64, 3).tolist()
+    raw, at = pa.decompress(body[24:], size, "zstd", asbytes=True), 0
+
+    def take(kind, many: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(raw, kind, many, at)
+        at += out.nbytes
+        return out
+
+    ids, held = take(np.int64, rows), take(np.uint8, rows).astype(bool)
+    many = take(np.int32, rows)
+    hashes, count = [], None
+    for _ in range(DEPTH + 1):
+        code = np.ascontiguousarray(take(np.uint8, 4 * n).reshape(4, n).T).view(np.int32)[:, 0]
+        h = model.hashes[code]
+        rare = code < 0
+        h[rare] = take(flat.U, int(rare.sum()))
+        hashes.append(h)
+        if count is None:
+            count = np.where(rare, -1, model.counts[code])
+    return np.repeat(ids, many), np.repeat(held, many), count, *hashes
+
+
+def score_bucket(blocks: list[bytes], w: np.ndarray, s: np.ndarray, n: np.ndarray, model: Model) -> Iterator[pa.RecordBatch]:
+    """Partial sums of the bucket's documents; ``w``, ``s``, ``n``: counts of words (w is 0) and of words after hot ones."""
+    doc, held, count, *hashes = (np.concatenate(x) for x in zip(*(_unblock(b, model) for b in blocks), strict=True))
+    train = (~held).astype(float)
+    rare = np.flatnonzero(count < 0)
+    alone = w == 0
+    order = np.argsort(s[alone])
+    at, hit = found(s[alone][order], hashes[0][rare])
+    count[rare] = np.where(hit, n[alone][order][at], 0) if len(order) else 0
+    p = base = (count + 1) / model.total
+    pair = joined(w[~alone], s[~alone], flat.MULT_TOO)
+    pair_order = np.argsort(pair)
+    pair, pair_n = pair[pair_order], n[~alone][pair_order]
+    ids, states, suffixes, logs = [], [], [], [np.log10(base)]
+    open_hot = np.zeros(len(doc), bool)
+    context = None
+    for d in range(1, DEPTH + 1):
+        context = hashes[1] if d == 1 else joined(context, hashes[d])
+        c, first_c, of_c = np.unique(context, return_index=True, return_inverse=True)
+        g, first, of_g = np.unique(joined(context, hashes[0], flat.MULT_TOO), return_index=True, return_inverse=True)
+        of = of_c[first]
+        seen = np.bincount(of_g, train, len(g))
+        mass, kinds = np.bincount(of, seen, len(c)), np.bincount(of, seen > 0, len(c))
+        if d == 1:
+            at_hot, is_hot = found(model.hot, c)
+            if is_hot.any():
+                at, hit = found(pair, g)
+                hot_g = is_hot[of]
+                seen[hot_g] = np.where(hit, pair_n[at], 0)[hot_g] if len(pair) else 0
+                mass[is_hot], kinds[is_hot] = model.hot_mass[at_hot[is_hot]], model.hot_kinds[at_hot[is_hot]]
+        parent = p[first]
+        gain = np.bincount(of, np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(mass[of], 1) / parent), 0), len(c))
+        state = (mass >= LEAST) & (gain >= kinds * np.log(max(model.total, 2)) / 2)
+        if d == 1 and is_hot.any():
+            state[is_hot] = model.hot_ok[at_hot[is_hot]]
+            undecided = is_hot & ~state  # may still be the suffix of a state, here or in another bucket
+            open_hot = undecided[of_c]
+        both = (mass + kinds)[of]
+        p = np.where(both > 0, (seen + kinds[of] * parent) / np.maximum(both, 1), parent)[of_g]
+        logs.append(np.log10(p))
+        suffixes.append(ids[-1][first_c] if ids else None)
+        ids.append(of_c)
+        states.append(state)
+    for d in range(DEPTH - 1, 0, -1):
+        states[d - 1][suffixes[d][states[d]]] = True
+    longest = np.zeros(len(doc), np.int64)
+    for d in range(1, DEPTH + 1):
+        longest[states[d - 1][ids[d - 1]]] = d
+    if open_hot.any():
+        ends = np.unique(hashes[1][open_hot & (longest > 0)])
+        yield _sums(None, np.ones(len(ends), bool), flat.signed(ends), np.zeros((len(ends), 4)))
+        longest[open_hot & (longest == 1)] = 0
+        at = np.flatnonzero(open_hot & (longest == 0))
+        _, first, inverse = np.unique(joined(doc[at].view(flat.U), hashes[1][at]), return_index=True, return_inverse=True)
+        values = np.zeros((len(first), 4))
+        values[:, 3] = np.bincount(inverse, (logs[1] - logs[0])[at], len(first))
+        yield _sums(doc[at][first], np.zeros(len(first), bool), flat.signed(hashes[1][at][first]), values)
+    score = np.choose(longest, logs)
+    unique, inverse = np.unique(doc, return_inverse=True)
+    values = np.column_stack([np.bincount(inverse, x, len(unique)) for x in (np.ones(len(doc)), count > 0, logs[0], score)])
+    yield _sums(unique, np.zeros(len(unique), bool), pa.nulls(len(unique), pa.int64()), values)
+
+
+def _sums(doc, is_state, hot, values: np.ndarray) -> pa.RecordBatch:
+    ids = pa.nulls(len(values), pa.int64()) if doc is None else pa.array(doc)
+    whole = [pa.array(values[:, i].astype(np.int64)) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([ids, pa.array(is_state), hot, *whole, pa.array(values[:, 2].copy()), pa.array(values[:, 3].copy())], names=["doc_id", "is_state", "hot", "n_tokens", "n_known", "base", "score"])
 
 
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tree, shares = shared.value
-        for batch in batches:
-            n = batch.num_rows
-            ids = batch.column(0).to_numpy()
-            data, offsets = flat.texts(batch.column(1))
-            h, start, end, rows = flat.word_hashes(data, offsets, lower=True)
-            row = np.repeat(np.arange(n), np.diff(rows))
-            hit, c, symbol = known.find(h)
-            windows, at, ends = windows_of(symbol, rows, END)
-            unique, inverse = np.unique(windows, return_inverse=True)
-            logs = tree.score(unique)[inverse]
-            ended, c_end, _ = known.find(np.array([END_HASH]))
-            score = np.bincount(row, logs[at], minlength=n)[:n] + logs[ends]
-            inner = hit & (symbol == OTHER)
-            score += np.bincount(row[inner], shares.log(c[inner]), minlength=n)[:n]
-            base = np.bincount(row[hit], np.log10(c[hit] + 1) - shares.base, minlength=n)[:n] + np.log10(c_end[0] + 1) - shares.base
-            n_known = np.bincount(row[hit], minlength=n)[:n] + int(ended[0])
-            yield _rows(ids, pa.nulls(n, pa.binary()), np.diff(rows) + 1, n_known, base, score)
-            rare = np.flatnonzero(~hit)
-            if len(rare):
-                order = rare[np.lexsort((h[rare], row[rare]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
-                first = np.flatnonzero(new)
-                many = np.diff(np.r_[first, len(order)])
-                first = order[first]
-                zero = np.zeros(len(first))
-                yield _rows(ids[row[first]], names_of(data, start[first], end[first]), many, zero.astype(np.int64), zero, zero)
+        model = shared.value
+        held: list[pa.RecordBatch] = []
+        current = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            blocks = t.column("body").drop_null().to_pylist()
+            facts = t.filter(pc.is_null(t.column("body")))
+            w, s, n = (facts.column(c).fill_null(0).to_numpy() for c in ("w", "s", "n"))
+            if blocks:
+                yield from score_bucket(blocks, w.view(flat.U), s.view(flat.U), n.astype(float), model)
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bucket = batch.column(0).to_numpy()
+                cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    if a == b:
+                        continue
+                    nonlocal current
+                    if bucket[a] != current and held:
+                        yield from done()
+                        held.clear()
+                    current = bucket[a]
+                    held.append(batch.slice(a, b - a))
+            if held:
+                yield from done()
+
+        parts, rows = [], 0
+        for x in merged():
+            parts.append(x)
+            rows += x.num_rows
+            if rows > 1_000_000:
+                yield from _summed(parts)
+                parts, rows = [], 0
+        if parts:
+            yield from _summed(parts)
 
     return run
 
 
-def _rows(ids, words, n, known, base, score) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids), words, pa.array(n), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "word", "n_tokens", "n_known", "base", "score"])
+def _summed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a document from several buckets as one."""
+    t = pa.Table.from_batches(parts).group_by(["doc_id", "is_state", "hot"]).aggregate([(c, "sum") for c in SUMS])
+    yield from t.rename_columns([c.removesuffix("_sum") for c in t.column_names]).to_batches()
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,43 +446,64 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Learns from rows whose crc32(id) mod 7 is not 2.  Tokens are words (A-Z lowered) and one end; a null or
     empty text has the end only.  Rows that repeat an id are scored each and given once, as a sum; null ids
-    take no part.  Without training rows train_tokens is 0 and all symbols are equally likely; no rows: no rows.
+    take no part.  Without training rows train_tokens is 0 and all words are the one unknown symbol; no rows: no rows.
 
-    Gathered on the driver and sent to every task, all of proven size: symbols, states of the tree and frequent
-    words, by the shares above.  All other words are joined.
+    Sent to every task: frequent words with their counts, at most 1 / ``FREQUENT``, and the words with more positions
+    than a bucket.  All other words' counts, and all counts and states of the tree, stay in tables dealt by bucket.
     """
     spark = df.sparkSession
     small_batches(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    train = docs.where(~held_out("doc_id")).select("text")
-    words = cut(train.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null").select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    words = cut(docs.where("not held_out").select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     size = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_words = size["n"] or 0, size["v"]
-    is_symbol = (F.col("n") >= max(1.0, SYMBOL_SHARE * n_train)) | (F.col("word") == F.lit(END_WORD))
-    inside = words.where(~is_symbol).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
-    discount = inside["once"] / max(inside["once"] + 2 * inside["twice"], 1)
-    shares = Shares(float(np.clip(discount, 0.05, 0.95)), inside["n"] or 0, inside["v"], float(np.log10(n_train + n_words + 1)))
+    total = float(n_train + n_words + 1)
+    end_key = int(END_HASH.astype(np.int64))
 
     least = max(1.0, FREQUENT * n_train)
-    frequent = words.where((F.col("n") >= least) | is_symbol).select("word", "n", is_symbol.alias("symbol")).toPandas()
-    raw = np.frombuffer(b"".join(bytes(w) for w in frequent["word"]), np.uint8)
-    ends = np.cumsum([len(w) for w in frequent["word"]], dtype=np.int64)
-    hashes = flat.ranged(flat.prefix(flat.BYTE[raw]), np.r_[np.zeros(1, np.int64), ends[:-1]], ends) if len(ends) else np.zeros(0, flat.U)
-    symbols = np.full(len(frequent), OTHER)
-    own = np.flatnonzero(frequent["symbol"].to_numpy(bool) & (hashes != END_HASH))
-    symbols[own] = FIRST + np.arange(len(own))
+    kept = words.where((F.col("n") >= least) & (F.col("word") != end_key)).toPandas().sort_values("n", ascending=False)
+    hashes, counts = kept["word"].to_numpy(np.int64).view(flat.U), kept["n"].to_numpy(np.float64)
+    ended = words.where(F.col("word") == end_key).first()
+    n_ends = float(ended["n"]) if ended else 0.0
     order = np.argsort(hashes)
-    known = Known(hashes[order], frequent["n"].to_numpy(np.float64)[order], symbols[order])
-
-    grams = cut(train.mapInArrow(_gram_counts(spark.sparkContext.broadcast(known)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    tree = tree_of(grams, n_train, len(own))
-    shared = spark.sparkContext.broadcast((known, tree, shares))
-
-    scored = cut(docs.mapInArrow(_scores(shared), "doc_id long, word binary, n_tokens long, n_known long, base double, score double"), "scores")
-    rare = scored.where("word is not null").select("doc_id", "word", "n_tokens").join(words.where((F.col("n") < least) & ~is_symbol), "word", "left")
-    c = F.coalesce(F.col("n"), F.lit(0)).cast("double")
-    many = F.col("n_tokens")
-    judged = rare.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.when(c > 0, many).otherwise(0).cast("long").alias("n_known"), (many * (F.log10(c + 1) - F.lit(shares.base))).alias("base"), (many * shares.column(c)).alias("score"))
-    both = scored.where("word is null").drop("word").union(judged)
-    total = both.groupBy("doc_id").agg(*(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")))
-    return total.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    none = np.zeros(0)
+    buckets = max(1, int(n_train * 7 // 6 // BUCKET))
+    model = Model(hashes[order], (order + 2).astype(np.int32), np.r_[np.array([START_HASH, END_HASH], flat.U), hashes], np.r_[0.0, n_ends, counts], buckets, total, none.astype(flat.U), none, none, none.astype(bool))
+
+    hot = {int(r["word"]): float(r["n"]) for r in words.where((F.col("n") > BUCKET) & (F.col("word") != end_key)).collect()}
+    if n_ends > BUCKET:
+        hot[int(START_HASH.astype(np.int64))] = n_ends
+    hot_hashes = np.sort(np.array(list(hot), np.int64).view(flat.U))
+    mass = np.array([hot[int(h.astype(np.int64))] for h in hot_hashes])
+    model = model._replace(hot=hot_hashes, hot_mass=mass, hot_kinds=np.ones(len(mass)), hot_ok=np.zeros(len(mass), bool))
+
+    asked = cut(docs.mapInArrow(_asked(spark.sparkContext.broadcast(model)), "bucket int, w long, s long, n long"), "asked")
+    counted = words.select(F.col("word").alias("s"), F.col("n").alias("__n"))
+    facts = asked.where("w is null").select("bucket", "s").distinct().join(counted, "s").select("bucket", F.lit(0).cast("long").alias("w"), "s", F.col("__n").alias("n"))
+    pairs = None
+    if hot:
+        pairs = cut(asked.where("w is not null").groupBy("w", "s").agg(F.sum("n").alias("n"), F.collect_set("bucket").alias("buckets")).where("n > 0"), "pairs")
+        of_word = F.create_map(*(F.lit(x) for k, v in hot.items() for x in (k, v)))[F.col("w")]
+        share = (F.col("__n") + 1) / F.lit(total)
+        gains = {r["w"]: r for r in pairs.join(counted, "s").groupBy("w").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / of_word / share)).alias("gain")).collect()}
+        rows = [gains[int(h.astype(np.int64))] for h in hot_hashes]
+        kinds = np.array([r["kinds"] for r in rows], float)
+        model = model._replace(hot_kinds=kinds, hot_ok=np.array([r["gain"] for r in rows]) >= kinds * np.log(max(total, 2)) / 2)
+        facts = facts.union(pairs.select(F.explode("buckets").alias("bucket"), "w", "s", "n"))
+
+    facts = cut(facts, "facts")
+    discard(spark, asked, *([pairs] if pairs is not None else []))
+    shared = spark.sparkContext.broadcast(model)
+    turns = []
+    for turn in range(min(ROUNDS, buckets)):
+        blocks = docs.mapInArrow(_dealt(shared, turn), "bucket int, body binary").select("bucket", "body", *(F.lit(None).cast("long").alias(c) for c in "wsn"))
+        dealt = blocks.union(facts.where(F.col("bucket") % ROUNDS == turn).select("bucket", F.lit(None).cast("binary").alias("body"), "w", "s", "n"))
+        spread = dealt.repartition("bucket").sortWithinPartitions("bucket")
+        parts = spread.mapInArrow(_scores(shared), "doc_id long, is_state boolean, hot long, n_tokens long, n_known long, base double, score double")
+        turns.append(cut(parts.groupBy("doc_id", "is_state", "hot").agg(*(F.sum(x).alias(x) for x in SUMS)), "scores"))
+    discard(spark, facts)
+    sums = reduce(DataFrame.union, turns)
+    states = [r["hot"] for r in sums.where("is_state").select("hot").distinct().collect()] if not model.hot_ok.all() else []
+    taken = sums.where(~F.col("is_state") & (F.col("hot").isNull() | F.col("hot").isin(states)))
+    out = taken.groupBy("doc_id").agg(*(F.sum(x).alias(x) for x in SUMS))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -101,6 +101,51 @@ def test_tree_gives_distributions():
         assert p.sum() == pytest.approx(1)
 
 
+@pytest.fixture(scope="module")
+def spoken():
+    """Texts of fewer than 1,000 words, with pairs and triples that recur; words that few texts have, and unknown ones."""
+    rng = np.random.default_rng(5)
+    out = []
+    for i in range(400):
+        w = rng.zipf(1.4, 60) % 500
+        w[1::3] = (w[::3] * 7 + 1) % 500  # a word that its predecessor foretells
+        out.append((i, " ".join(f"w{x}" for x in w)))
+    return [*out, (400, "w1 w8 w3 never seen w1 w8"), (401, ""), (402, None)]
+
+
+def whole_tree_scores(rows):
+    """Scores by the in-memory tree of all words and all contexts that occur twice."""
+    texts = [[*(w.decode() for w in WORD.findall((t or "").encode().translate(LOW)))] for _, t in rows]
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    words = sorted({w for ws, known in zip(texts, train, strict=True) if known for w in ws})
+    symbol = {w: lm_score.FIRST + k for k, w in enumerate(words)}
+    assert len(words) < 1000
+
+    def windows(ws):
+        return lm_score.windows_of(np.array([symbol.get(w, lm_score.OTHER) for w in ws], np.int64), np.array([0, len(ws)]), lm_score.END)[0]
+
+    learnt = np.concatenate([windows(ws) for ws, known in zip(texts, train, strict=True) if known])
+    counts = []
+    for d in range(lm_score.DEPTH + 1):
+        key, n = np.unique(learnt & ((1 << lm_score.BITS * (d + 1)) - 1), return_counts=True)
+        context, inverse = np.unique(key >> lm_score.BITS, return_inverse=True)
+        often = (np.bincount(inverse, n) >= 2)[inverse] if d else np.ones(len(key), bool)
+        counts.append((key[often], n[often]))
+    tree = lm_score.build_tree(counts, len(words))
+    assert len(tree.states[1]) > 100
+    assert len(tree.states[2])
+    return {i: tree.score(windows(ws)).sum() for (i, _), ws in zip(rows, texts, strict=True)}
+
+
+@pytest.mark.parametrize("bucket", [1 << 19, 900])
+def test_every_word_and_every_recurring_context_counts(spark, spoken, monkeypatch, bucket):
+    """Scores are those of the tree over all words, however positions are dealt; in small buckets some words are hot."""
+    monkeypatch.setattr(lm_score, "BUCKET", bucket)
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(spark.createDataFrame(spoken, "doc_id long, text string")).collect()}
+    want = whole_tree_scores(spoken)
+    assert got == pytest.approx(want)
+
+
 def test_lm_no_rows(empty):
     assert lm_score.lm_scores(empty).count() == 0
 
