@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import md5_int, md5_int_sql
+from ..model import md5_int, md5_int_sql, running_sum
 from ..declare import query
 from ..tables import table
 
@@ -101,14 +101,16 @@ def times_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT event_id, 1 + user_id % 5 AS asked, sum(1 + user_id % 5) OVER (ORDER BY event_id) - (1 + user_id % 5) AS before FROM events WHERE event_id < 1000)
 SELECT event_id, ((before + j) % 25)::BIGINT AS worker FROM r, unnest(range(asked)) AS x(j)""")
 def roundrobin_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P6 each request takes the next workers around a ring of 25; the cursor is what was asked before.
-
-    The cursor orders all requests of one ring, so they go through one window (at most a thousand here)."""
+    """P6 over the requests that its SQL names; ``round_robin`` takes any number."""
     asked = (1 + F.col("user_id") % 5).alias("asked")
-    requests = table(spark, sf_dir, "events", "event_id", "user_id").where("event_id < 1000").select("event_id", asked)
-    cursor = F.sum("asked").over(Window.orderBy("event_id")) - F.col("asked")
-    slots = requests.withColumn("cursor", cursor).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asked") - 1)))
-    return slots.select("event_id", ((F.col("cursor") + F.col("j")) % 25).alias("worker"))
+    return round_robin(table(spark, sf_dir, "events", "event_id", "user_id").where("event_id < 1000").select("event_id", asked))
+
+
+def round_robin(requests: DataFrame, ring: int = 25) -> DataFrame:
+    """P6 each request takes the next workers around a ring; the cursor is what was asked before, summed by chunks."""
+    upto = running_sum(requests.withColumn("ring", F.lit(0)), "ring", "event_id", F.col("asked"), "upto")
+    slots = upto.withColumn("cursor", F.col("upto") - F.col("asked")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asked") - 1)))
+    return slots.select("event_id", ((F.col("cursor") + F.col("j")) % ring).alias("worker"))
 
 
 STATE_SQL = """states AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 5 < 2 THEN 'online' WHEN s_suppkey % 5 = 2 AND s_suppkey % 2 = 0 THEN 'configured'

@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import pytest
+from helpers import same
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import packed_long, retry_wait
@@ -130,3 +131,13 @@ def test_frames_are_read_back(spark, tmp_path):
 def test_frame_columns(spark):
     got = one(spark, framed.frame(F.lit(7), F.lit(-2), F.lit(-1), F.lit(1 << 40), F.lit(5)))
     assert struct.unpack(">iqiqq", got) == (7, -2, -1, 1 << 40, 5)
+
+
+LARGER = "/root/testdata/sf0.01"
+
+
+def test_round_robin_takes_every_request(spark):
+    """Several chunks of requests, none left out."""
+    requests = spark.read.parquet(f"{LARGER}/events.parquet").selectExpr("event_id", "1 + user_id % 5 AS asked")
+    same(placement.round_robin(requests), """WITH r AS (SELECT event_id, 1 + user_id % 5 AS asked, sum(1 + user_id % 5) OVER (ORDER BY event_id) - (1 + user_id % 5) AS before FROM events)
+SELECT event_id, ((before + j) % 25)::BIGINT AS worker FROM r, unnest(range(asked)) AS x(j)""", LARGER)
