@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import md5_int, md5_int_sql, running_sum
@@ -59,28 +59,32 @@ WEIGHTS_SQL = "workers AS (SELECT s_suppkey, 1 + s_suppkey % 4 AS weight FROM su
 
 
 def weighted_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most fifty workers with weights 1 to 4."""
+    """The workers that the SQL names, with weights 1 to 4."""
     return table(spark, sf_dir, "supplier", "s_suppkey").where("s_suppkey <= 50").select("s_suppkey", (1 + F.col("s_suppkey") % 4).alias("weight"))
 
 
 def weight_intervals(workers: DataFrame) -> DataFrame:
-    """Half-open intervals [lo, hi) of cumulative weight.  One window over all workers of one cluster."""
-    upto = Window.orderBy("s_suppkey")
-    return workers.withColumn("hi", F.sum("weight").over(upto)).withColumn("lo", F.col("hi") - F.col("weight"))
+    """Half-open intervals [lo, hi) of cumulative weight, summed by chunks of workers."""
+    summed = running_sum(workers.withColumn("__all", F.lit(0)), "__all", "s_suppkey", F.col("weight"), "hi").drop("__all")
+    return summed.withColumn("lo", F.col("hi") - F.col("weight"))
 
 
 @query(f"""WITH {WEIGHTS_SQL}, i AS (SELECT s_suppkey, weight, sum(weight) OVER (ORDER BY s_suppkey)::BIGINT AS hi, (SELECT sum(weight) FROM workers)::BIGINT AS total FROM workers),
 d AS (SELECT o_orderkey, {md5_int_sql("o_orderkey")} % (SELECT any_value(total) FROM i) AS u FROM orders)
 SELECT d.o_orderkey, i.s_suppkey FROM d JOIN i ON d.u >= i.hi - i.weight AND d.u < i.hi""")
 def weighted_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 over the workers that its SQL names; ``weighted_draws`` takes any number."""
+    return weighted_draws(table(spark, sf_dir, "orders", "o_orderkey"), weighted_workers(spark, sf_dir))
+
+
+def weighted_draws(requests: DataFrame, workers: DataFrame) -> DataFrame:
     """P4 a draw falls into one worker's share of the total weight, with replacement.
 
     Each worker is listed once per unit of weight, so the draw is looked up by an equi-join."""
-    intervals = weight_intervals(weighted_workers(spark, sf_dir))
-    slots = intervals.select("s_suppkey", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("u"))
-    total = intervals.agg(F.sum("weight").alias("total"))
-    draws = table(spark, sf_dir, "orders", "o_orderkey").crossJoin(F.broadcast(total)).select("o_orderkey", (md5_int("o_orderkey") % F.col("total")).alias("u"))
-    return draws.join(F.broadcast(slots), "u").select("o_orderkey", "s_suppkey")
+    slots = weight_intervals(workers).select("s_suppkey", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("u"))
+    total = workers.agg(F.sum("weight").alias("total"))
+    draws = requests.crossJoin(F.broadcast(total)).select("o_orderkey", (md5_int("o_orderkey") % F.col("total")).alias("u"))
+    return draws.join(slots, "u").select("o_orderkey", "s_suppkey")
 
 
 TIMES_ASKED = 70
@@ -90,8 +94,12 @@ TIMES_ASKED = 70
 r AS (SELECT s_suppkey, time, row_number() OVER (ORDER BY md5(s_suppkey || ':' || time)) AS place FROM t)
 SELECT s_suppkey, count(*) AS times FROM r WHERE place <= {TIMES_ASKED} GROUP BY ALL""")
 def times_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 over the workers that its SQL names; ``times_given`` takes any number."""
+    return times_given(weighted_workers(spark, sf_dir))
+
+
+def times_given(workers: DataFrame) -> DataFrame:
     """P5 asked for more than there are, each worker is given as often as its weight exceeds the least, at most."""
-    workers = weighted_workers(spark, sf_dir)
     least = workers.agg(F.min("weight").alias("least"))
     repeated = workers.crossJoin(F.broadcast(least)).select("s_suppkey", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("weight div least"))).alias("time"))
     first = repeated.orderBy(F.md5(F.concat_ws(":", "s_suppkey", "time").cast("binary"))).limit(TIMES_ASKED)

@@ -11,7 +11,7 @@ from helpers import same
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import packed_long, retry_wait
-from millrace.model import running_sum
+from millrace.model import md5_int_sql, running_sum
 from millrace.operators import control, exchange, integrity, placement
 from millrace.sources import framed
 
@@ -141,3 +141,25 @@ def test_round_robin_takes_every_request(spark):
     requests = spark.read.parquet(f"{LARGER}/events.parquet").selectExpr("event_id", "1 + user_id % 5 AS asked")
     same(placement.round_robin(requests), """WITH r AS (SELECT event_id, 1 + user_id % 5 AS asked, sum(1 + user_id % 5) OVER (ORDER BY event_id) - (1 + user_id % 5) AS before FROM events)
 SELECT event_id, ((before + j) % 25)::BIGINT AS worker FROM r, unnest(range(asked)) AS x(j)""", LARGER)
+
+
+EVERY = "w AS (SELECT s_suppkey, 1 + s_suppkey % 4 AS weight FROM supplier)"
+
+
+def every_worker(spark):
+    return spark.read.parquet(f"{LARGER}/supplier.parquet").selectExpr("s_suppkey", "1 + s_suppkey % 4 AS weight")
+
+
+def test_weighted_draws_reach_every_worker(spark, monkeypatch):
+    monkeypatch.setattr("millrace.model.CHUNK", 16)
+    got = placement.weighted_draws(spark.read.parquet(f"{LARGER}/orders.parquet"), every_worker(spark))
+    assert got.select("s_suppkey").distinct().count() == 100
+    same(got, f"""WITH {EVERY}, i AS (SELECT s_suppkey, weight, sum(weight) OVER (ORDER BY s_suppkey) AS hi, (SELECT sum(weight) FROM w) AS total FROM w),
+d AS (SELECT o_orderkey, {md5_int_sql("o_orderkey")} % (SELECT any_value(total) FROM i) AS u FROM orders)
+SELECT o_orderkey, s_suppkey FROM d JOIN i ON u >= hi - weight AND u < hi""", LARGER)
+
+
+def test_times_are_of_every_worker(spark):
+    same(placement.times_given(every_worker(spark)), f"""WITH {EVERY}, t AS (SELECT s_suppkey, unnest(range(1, weight // (SELECT min(weight) FROM w) + 1)) AS time FROM w),
+r AS (SELECT s_suppkey, time, row_number() OVER (ORDER BY md5(s_suppkey || ':' || time)) AS place FROM t)
+SELECT s_suppkey, count(*) AS times FROM r WHERE place <= {placement.TIMES_ASKED} GROUP BY ALL""", LARGER)
