@@ -105,9 +105,9 @@ def pieces(data: np.ndarray, a: int, b: int, size: int = 4 * CHUNK) -> Iterator[
     hashed in bounded memory; a word longer than that stays whole."""
     while b - a > size:
         at = a + size
-        while at < b and not SPACE[data[at : at + 4096]].any():
+        while at < b and not SPACE[data[at : min(at + 4096, b)]].any():
             at += 4096
-        at = b if at >= b else at + int(np.argmax(SPACE[data[at : at + 4096]]))
+        at = b if at >= b else at + int(np.argmax(SPACE[data[at : min(at + 4096, b)]]))
         yield a, at
         a = at
     yield a, b

@@ -88,3 +88,18 @@ def test_sliding_minimum():
     x = np.random.default_rng(2).integers(0, 99, 300)
     for w in (1, 2, 5, 8, 69):
         assert windows.sliding_min(x, w).tolist() == [x[i : i + w].min() for i in range(300 - w + 1)]
+
+
+def test_a_long_unbroken_tail_stays_in_its_text():
+    """A text without white space after the place of its cut, and another text right behind it."""
+    import pyarrow as pa
+
+    long = "one " + "x" * (4 * flat.CHUNK + 5000)
+    data, offsets = flat.texts(pa.array([long, "y two three", long]))
+    parts = list(flat.pieces(data, 0, int(offsets[1])))
+    assert parts[-1][1] == offsets[1]
+    assert all(a <= b for a, b in parts)
+    h, start, end, rows = flat.word_hashes(data, offsets)
+    assert np.diff(rows).tolist() == [2, 3, 2]
+    assert h[:2].tolist() == h[-2:].tolist()
+    assert (end[rows[1:] - 1] <= offsets[1:]).all()
