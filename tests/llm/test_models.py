@@ -277,6 +277,16 @@ def test_encoder_is_the_library():
     assert [g.tolist() for g in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_other_scripts_and_long_texts_in_stretches(monkeypatch):
+    monkeypatch.setattr(token_file, "STRETCH", 40)
+    rng = random.Random(3)
+    parts = ["word", " and", " \u00a0 ", "\u00a0", " x", " 日本", "×", " é", "\u2003 ", "\n", " 12", "<|endoftext|>", " supercalifragilisticexpialidocious", " \x85 y"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 400))) for _ in range(300)]
+    encoder, tokenizer = token_file.Encoder(BPE), Tokenizer.from_file(BPE)
+    got = encoder.encode_rows(*flat.texts(pa.array(texts)))
+    assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_full_table_and_long_text(monkeypatch):
     monkeypatch.setattr(token_file, "CACHE_SLOTS", 1 << 12)
     rng = random.Random(2)
