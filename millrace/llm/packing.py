@@ -4,6 +4,9 @@ Pieces are taken longest first.  Each goes to the open bin with the least room t
 it; if none does, a bin is opened whose length costs least per token it is expected to hold, found by
 filling every permitted length greedily from the pieces still to come.  At the end every bin is
 downsized to the smallest permitted length that holds its contents.
+
+``token_table`` makes the token ids of all texts, ``pack`` places them by their lengths, and ``sequences``
+gives each bin its ids.
 """
 
 from __future__ import annotations
@@ -16,6 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import flat
+from .scratch import cut, small_batches
+from .token_file import END_ID, encoder
+
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Cost of a bin of length c: c tokens of compute and this much besides, per bin.
 OVERHEAD = 32
@@ -73,23 +80,20 @@ def _pack_partition(capacities: Sequence[int], overhead: int, run_rows: int):
 
         part, count, held, rows = TaskContext.get().partitionId(), 0, [], 0
 
-        def packed() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
+        def packed(t: pa.Table) -> pa.RecordBatch:
             bins, offsets, sizes, used = pack_run(t["length"].to_numpy(), capacities, overhead)
             columns = [*(c.combine_chunks() for c in t.columns), pa.array((part << 40) + (count << 20) + bins), pa.array(np.array(sizes, np.int64)[bins]), pa.array(np.array(used, np.int64)[bins]), pa.array(offsets)]
             return pa.RecordBatch.from_arrays(columns, names=[*t.column_names, "bin_id", "bin_length", "bin_used", "bin_offset"])
 
         for batch in batches:
-            while batch.num_rows:
-                take = batch.slice(0, run_rows - rows)
-                batch = batch.slice(take.num_rows)
-                held.append(take)
-                rows += take.num_rows
-                if rows == run_rows:
-                    yield packed()
-                    held, rows, count = [], 0, count + 1
+            held.append(batch)
+            rows += batch.num_rows
+            while rows >= 2 * run_rows:
+                t = pa.Table.from_batches(held)
+                yield packed(t.slice(0, run_rows))
+                held, rows, count = t.slice(run_rows).to_batches(), rows - run_rows, count + 1
         if rows:
-            yield packed()
+            yield packed(pa.Table.from_batches(held))  # no run of a few pieces is left over
 
     return run
 
@@ -102,8 +106,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", length_col: str = "length", capa
     lost.  Null lengths count as 0; rows of length 0 or less need no room and give no piece.  Rows that repeat
     an id are packed each on its own; a null id is kept.  No rows: no rows.
 
-    Rows are dealt by a hash into partitions of about ``run_rows`` pieces (of one id's repeats, each partition
-    packs at most ``run_rows`` together), so memory is bounded and runs are independent: no global state.
+    Rows are dealt by a hash into partitions of about ``run_rows`` pieces, and a partition packs less than twice as
+    many together, so memory is bounded and runs are independent: no global state.  ``df`` is read twice.
     """
     caps = sorted(capacities)
     top = caps[-1]
@@ -117,6 +121,49 @@ def pack(df: DataFrame, id_col: str = "doc_id", length_col: str = "length", capa
     return dealt.mapInArrow(_pack_partition(tuple(caps), overhead, run_rows), f"`{id_col}` {kind}, piece long, piece_start long, length long, bin_id long, bin_length long, bin_used long, bin_offset long")
 
 
-def words_and_end(text_col: str = "text"):
-    """A length in tokens: the words of a text, and one for its end (null text: the end only)."""
-    return F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1
+def _encode(path: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.r_[x, np.int32(end_id)] for x in encoder(path).encode_rows(*flat.texts(batch.column(1)))]
+            sizes = np.array([len(r) for r in rows], np.int64)
+            values = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32())
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids], names=["doc_id", "length", "ids"])
+
+    return run
+
+
+def _count(path: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _encode(path, end_id)(batches):
+            yield batch.select([0, 1])
+
+    return run
+
+
+def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(df.sparkSession)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def token_table(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+    """(doc_id, length, ids) of every row: the ids of the whole text (null: empty) and ``end_id``, as the tokenizers
+    library gives them.  Null ids stay null, rows that repeat an id are rows of their own, no rows give none."""
+    return _docs(df, id_col, text_col).mapInArrow(_encode(tokenizer_path, end_id), "doc_id long, length long, ids array<int>")
+
+
+def pack_texts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+    """``pack`` of the token ids of whole texts, each with its end: a null or empty text is one token long."""
+    return pack(cut(_docs(df, id_col, text_col).mapInArrow(_count(tokenizer_path, end_id), "doc_id long, length long"), "lengths"))
+
+
+def sequences(placed: DataFrame, tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per bin: bin_id, bin_length, bin_used, ``pieces`` (id, piece, offset, length; by offset) and ``ids``, the
+    token ids of its pieces one after another.  A bin holds at most the largest capacity, so a row is bounded.
+
+    ``tokens`` has one row for each id that ``placed`` (of ``pack``) names; null ids are not joined."""
+    part = F.slice("ids", (F.col("piece_start") + 1).cast("int"), F.col("length").cast("int"))
+    pieces = placed.join(tokens.select(F.col("doc_id").alias(id_col), "ids"), id_col).select("bin_id", "bin_length", "bin_used", F.struct("bin_offset", F.col(id_col).alias("id"), "piece", "length", part.alias("ids")).alias("p"))
+    whole = pieces.groupBy("bin_id", "bin_length", "bin_used").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    told = F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["piece"].alias("piece"), x["bin_offset"].alias("offset"), x["length"].alias("length")))
+    return whole.select("bin_id", "bin_length", "bin_used", told.alias("pieces"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))

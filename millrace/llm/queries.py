@@ -18,9 +18,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return packing.pack(docs.select("doc_id", packing.words_and_end().alias("length")))
+def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    """Where each piece of each document's token ids lies: one row per piece."""
+    import public_tokenizers
+
+    return packing.pack_texts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(tokenizer))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

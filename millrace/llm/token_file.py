@@ -312,17 +312,22 @@ def between_words(data: np.ndarray, size: int = 2 * flat.CHUNK) -> Iterator[tupl
 _encoders: dict[str, Encoder] = {}
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, made once."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [np.r_[x, np.int32(end_id)] for x in _encoders[path].encode_rows(*flat.texts(batch.column(1)))]
+            rows = [np.r_[x, np.int32(end_id)] for x in encoder(path).encode_rows(*flat.texts(batch.column(1)))]
             sizes = np.array([len(r) for r in rows])
             ends = np.cumsum(sizes)
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate(rows).astype(np.int32)))

@@ -261,6 +261,58 @@ def test_packing_fills_bins():
     assert len(set(bins.tolist())) == len(sizes)
 
 
+def plain_best_fit(lengths, capacities=packing.CAPACITIES, overhead=packing.OVERHEAD):
+    """The rule, step by step: (length, use) of each bin and the bin of each piece."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    room, used, bin_of = [], [], {}
+    for at, i in enumerate(order):
+        n = lengths[i]
+        fits = [(space, b) for b, space in enumerate(room) if space >= n]
+        if fits:
+            b = min(fits)[1]
+        else:
+            costs = []
+            for cap in (c for c in sorted(capacities) if c >= n):
+                filled = n
+                for k in order[at + 1 :]:
+                    if filled + lengths[k] <= cap:
+                        filled += lengths[k]
+                costs.append(((cap + overhead) / filled, cap))
+            b = len(room)
+            room.append(min(costs, key=lambda x: x[0])[1])
+            used.append(0)
+        room[b] -= n
+        used[b] += n
+        bin_of[i] = b
+    return [(min(c for c in capacities if c >= u), u) for u in used], bin_of
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_is_plain_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.choice([1, 7, 100, 511, 512, 513, 900, 2048, 4096], 150) if seed % 2 else rng.integers(1, 4097, 150)
+    bins, _, sizes, used = packing.pack_run(lengths)
+    want, bin_of = plain_best_fit(lengths.tolist())
+    assert list(zip(sizes, used, strict=True)) == want
+    assert dict(enumerate(bins.tolist())) == bin_of
+
+
+def test_packed_sequences_hold_the_token_ids(spark, corpus, documents, empty):
+    tokenizer = Tokenizer.from_file(BPE)
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, token_file.END_ID] for i, t in corpus}
+    placed = packing.pack_texts(documents, BPE)
+    got = {i: {} for i in ids}
+    for b in packing.sequences(placed, packing.token_table(documents, BPE)).collect():
+        assert len(b.ids) == b.bin_used <= b.bin_length
+        for p in b.pieces:
+            got[p.id][p.piece] = b.ids[p.offset : p.offset + p.length]
+    assert {i: [x for _, part in sorted(parts.items()) for x in part] for i, parts in got.items()} == ids
+    assert any(len(x) > 4096 for x in ids.values())
+    assert packing.pack_texts(empty, BPE).count() == 0
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id long, text string")
+    assert sorted((r.doc_id is not None, r.length) for r in packing.pack_texts(twice, BPE).collect()) == [(False, 2), (True, 1), (True, 3), (True, 3)]
+
+
 def test_packing_no_rows(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, length long")).count() == 0
 

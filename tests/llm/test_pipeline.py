@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline as pipeline
+import public_tokenizers
 from test_dedup import brute_near
+from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.01"
 
@@ -36,7 +38,8 @@ def test_stages(spark):
 
     assert {r.doc_id for r in mixed} <= {r.doc_id for r in after_near}
     assert abs(len(mixed) - len(after_near)) < 0.2 * len(after_near)
-    length = {r.doc_id: len(r.text.split()) + 1 for r in mixed}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    length = {r.doc_id: len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in mixed}
     want = Counter()
     for r in mixed:
         want[r.doc_id] += length[r.doc_id]
