@@ -34,8 +34,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of the permitted sequence lengths; a length is the words of a text and its end."""
-    return packing.pack(docs.select("doc_id", packing.words_and_end().alias("length")))
+    """Bins of the permitted sequence lengths, in token ids; each text is followed by its end."""
+    import public_tokenizers
+
+    return packing.pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
