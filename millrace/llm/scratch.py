@@ -50,8 +50,12 @@ def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove tables made by ``cut`` that no later plan reads."""
     for t in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        discard_path(spark, t.written_at)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
