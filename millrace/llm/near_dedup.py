@@ -6,11 +6,13 @@
 2. Multi-index Hamming join.  By the pigeonhole principle two signatures that differ in at most
    ``2 * chunks - 1`` symbols have a chunk with at most one error.  Each chunk is indexed under all its
    allowed errors, as the chunk with one symbol left out at a time, so all such pairs share a key.
-3. Links are confirmed on the full sets.  A key's members are first tested against the smallest id
-   (a star, not all pairs) and joined into components.  Every pair of a key that is then still in
-   different components is tested too, unless it cannot reach the threshold: of two sets that reach it,
-   the rarest few shingles (in one global order) must meet, so only pairs sharing one are emitted, and
-   of them only those with enough shingles left from there on and with bitmaps alike enough.
+3. Links are confirmed on the full sets.  A key's members are first tested against its first class
+   (a star, not all pairs) and joined into components.  Then every pair of classes still apart is tested, unless it
+   cannot reach the threshold: of two sets that reach it, the rarest few shingles (in one global order) must
+   meet.  The members of a small shingle group are paired, but for pairs without enough shingles left
+   from there on or with bitmaps too unlike.  Those of a large group are dealt to blocks, and any two blocks meet in
+   a tile that holds their sets: a matrix product gives all intersections there, and at most one link
+   for each member leaves it, so rows do not grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ SYMBOLS, BITS = 5, 16
 PARITY_BITS = 1024
 #: Allowed chance that a pair just at the threshold shares no key.
 MISS = 3e-5
-_rng = np.random.Generator(np.random.PCG64(4))
-_SEEDS = _rng.integers(1, 2**63, (64, 2), dtype=np.uint64) * U(2) + U(1)
+#: Members of a shingle group that are paired; of larger ones, members and hashes of a block, about.
+PAIRED = 32
+BLOCK_ROWS, BLOCK_HASHES = 512, 1 << 19
 
 
 def chunks_for(threshold: float) -> int:
@@ -43,6 +46,10 @@ def chunks_for(threshold: float) -> int:
     return max(2, math.ceil(math.log(MISS) / math.log(1 - found)))
 
 
+def seeds(count: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(4)).integers(1, 2**63, (count, 2), dtype=np.uint64) * U(2) + U(1)
+
+
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all rows, row offsets).  Letters A-Z are lowered; a text
     with fewer words than ``width`` has its whole sequence as one shingle; without words none."""
@@ -82,8 +89,8 @@ def signatures(h: np.ndarray, offsets: np.ndarray, count: int) -> np.ndarray:
     out = np.zeros((len(offsets) - 1, count), np.uint16)
     full = np.flatnonzero(np.diff(offsets))
     if len(full):
-        for i in range(count):
-            least = np.minimum.reduceat((h ^ _SEEDS[i, 0]) * _SEEDS[i, 1], offsets[full])
+        for i, (flip, mult) in enumerate(seeds(count)):
+            least = np.minimum.reduceat((h ^ flip) * mult, offsets[full])
             out[full, i] = (flat.mix(least) & U((1 << BITS) - 1)).astype(np.uint16)
     return out
 
@@ -144,11 +151,16 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(width: int):
+    """The sets of the rows (rep, d1, d2, text) whose digests these are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, offsets = shingle_sets(batch.column(1), width)
+            h, offsets = shingle_sets(batch.column(3), width)
+            one, two = set_digests(h, offsets)
+            own = (one.view(np.int64) == batch.column(1).to_numpy()) & (two.view(np.int64) == batch.column(2).to_numpy())
             raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[8 * a : 8 * b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["rep", "hashes"])
+            sets = pa.array([raw[8 * a : 8 * b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["rep", "hashes"]).filter(pa.array(own))
 
     return run
 
@@ -269,34 +281,122 @@ def _across(percent: int):
     return lambda batches: merged(groups(batches))
 
 
+def tile_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the members of a tile, by place."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(values, kind="stable")  # owners of one shingle ascend
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    shingle = np.cumsum(new) - 1
+    held_by = np.bincount(shingle)[shingle]
+    both = np.zeros((n, n), np.float32)
+    few = (held_by > 1) & (held_by <= FEW)
+    own, which = owner[few], shingle[few]
+    for step in range(1, FEW):
+        same = which[step:] == which[:-step]
+        both += np.bincount(own[:-step][same] * n + own[step:][same], minlength=n * n).reshape(n, n).astype(np.float32)
+    own, which = owner[held_by > FEW], shingle[held_by > FEW]
+    _, which = np.unique(which, return_inverse=True)
+    for a in range(0, int(which[-1]) + 1 if len(which) else 0, COLUMNS):
+        lo, hi = np.searchsorted(which, (a, a + COLUMNS))
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[own[lo:hi], which[lo:hi] - a] = 1
+        both += np.triu(part @ part.T, 1)
+    both += both.T
+    linked = 100 * both >= percent * (size[:, None] + size[None] - both)
+    apart, links = np.ones(n, bool), []
+    for root in range(n):
+        todo = [root] if apart[root] else []
+        apart[root] = False
+        while todo:
+            at = todo.pop()
+            near = np.flatnonzero(linked[at] & apart)
+            apart[near] = False
+            todo += near.tolist()
+            links += [(at, x) for x in near.tolist()]
+    return links
+
+
+#: Shingles of at most so many members of a tile are counted pair by pair, others in matrix products of so many columns.
+FEW, COLUMNS = 8, 4096
+
+
+def _tiles(percent: int):
+    """Rows (tile, rep, hashes) sorted by tile: the links of each tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, reps, sets = None, [], []
+
+        def done() -> pa.RecordBatch:
+            links = tile_links(sets, percent)
+            a, b = (pa.array([reps[x[i]] for x in links], pa.int64()) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+        for batch in batches:
+            for t, r, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if t != tile and reps:
+                    yield done()
+                    reps, sets = [], []
+                tile = t
+                reps.append(r)
+                sets.append(np.frombuffer(x.as_buffer().to_pybytes(), U))
+        if reps:
+            yield done()
+
+    return run
+
+
+def _in_tiles(rare: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the members of each ``large`` shingle group: any two of its ``blocks`` meet in a tile."""
+    dealt = salted_left_join(rare.select("shingle", "rep"), large.select("shingle", "blocks"), "shingle", "rep").where("blocks is not null")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", "shingle"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    tile = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other"))
+    met = dealt.where("own <> other or blocks = 1").select(tile.alias("tile"), "rep")
+    return met.join(sets, "rep").select("tile", "rep", "hashes").repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "a long, b long")
+
+
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``df``: id, ``n_shingles``, ``component_id`` (smallest id reachable over
     links, itself included), ``kept`` (id = component_id).
 
     Two texts are linked when 100 * |A and B| >= percent * |A or B| for their sets of ``width``-word
-    shingles.  Null, empty and wordless texts have no shingles and are linked with nothing.  Equal
-    texts are linked, whatever their number; rows that repeat an id share one component.  Ids are not null (such
-    rows are left out).  No rows: no rows.  Other columns are ignored.
+    shingles.  Null, empty and wordless texts have no shingles and are linked with nothing, even where other rows have
+    their id.  Equal texts are linked, whatever their number.  Rows that repeat an id are texts of their own, but
+    share one component, and a link of any of them is a link of the id.  Rows without an id are left out.
+    No rows: no rows.  Other columns are ignored.  The lower ``percent`` is, the more keys a text has (30 of them
+    at 85, 40 at 80, 250 at 50).
     """
+    if not 0 < percent <= 100 or width < 1:
+        raise ValueError("0 < percent <= 100 and width >= 1 are needed")
     spark = df.sparkSession
     small_batches(spark)
     chunks = chunks_for(percent / 100)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     scanned = cut(docs.mapInArrow(_scan(width, chunks * SYMBOLS), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "signatures")
-    classes = cut(scanned.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "classes")
+    grouped = scanned.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    classes = cut(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    repeated = scanned.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    some_repeated = bool(repeated.limit(1).count())
 
     keyed = classes.select("rep", "sig").mapInArrow(_keys(chunks), "key long, rep long")
     buckets = cut(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_stars, "key long, rep long, star long"), "buckets")
-    members = buckets.select("rep").distinct()
-    # one text per class member that shares a key with another
-    texts = docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(texts.mapInArrow(_sets(width), "rep long, hashes binary"), "sets")
+    members = classes.select("rep", "doc_id", "d1", "d2").join(buckets.select("rep").distinct(), "rep", "left_semi")
+    # one text per class that shares a key with another
+    found = docs.join(members, "doc_id").select("rep", "d1", "d2", "text").mapInArrow(_sets(width), "rep long, hashes binary")
+    sets = cut(found.dropDuplicates(["rep"]) if some_repeated else found, "sets")
 
     stars = buckets.where("rep <> star").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(_confirmed(stars, sets, percent), "links")
+    links = _confirmed(stars, sets, percent)
+    if some_repeated:  # all classes of one id are one
+        of_id = scanned.where("n_shingles > 0").join(repeated, "doc_id").select("doc_id", "d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
+        links = links.union(of_id.join(of_id.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")))
+    links = cut(links, "links")
     joined = components(links)
 
-    # pairs of one key that are still apart
+    # classes of one key that are still apart
     of = buckets.select("key", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     apart = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_reps = of.join(apart, "key", "left_semi").select("rep", "component").distinct()
@@ -305,15 +405,23 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = rest.select("hashes").mapInArrow(_slot_counts(slots), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(slots, np.int64)
     counts[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    rare = rest.mapInArrow(_rarest(counts, percent), "shingle long, rep long, component long, rank long, size long, parity binary")
-    pairs = rare.repartition("shingle").sortWithinPartitions("shingle", "component", "rep").mapInArrow(_across(percent), "a long, b long").distinct()
+    rare = cut(rest.mapInArrow(_rarest(counts, percent), "shingle long, rep long, component long, rank long, size long, parity binary"), "rare")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("hashes") / BLOCK_HASHES))
+    sizes = rare.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    groups = cut(sizes.where("lo <> hi").select("shingle", (F.col("n") > PAIRED).alias("large"), F.when(F.col("n") <= 2 * BLOCK_ROWS, F.lit(1)).otherwise(blocks).cast("long").alias("blocks")), "groups")
+    small, large = groups.where("not large"), groups.where("large")
+    pairs = rare.join(small, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "component", "rep").mapInArrow(_across(percent), "a long, b long").distinct()
     more = _confirmed(pairs, rest.select("rep", "hashes"), percent)
+    if large.limit(1).count():
+        more = more.union(_in_tiles(rare, large, rest.select("rep", "hashes"), percent).distinct())
     linked = cut(links.union(more), "links")
     final = components(linked)
-    discard(spark, buckets, sets, rest, links)
+    discard(spark, buckets, sets, rest, links, rare, groups)
 
-    of_class = classes.select("d1", "d2", "rep", "copies").join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    moved = of_class.where("copies > 1 or component is not null").select(F.struct("d1", "d2").alias("__set"), F.coalesce("component", "rep").alias("component_id"))
+    placed = classes.select("d1", "d2", "rep", "doc_id", "copies").join(final.withColumnRenamed("id", "rep"), "rep", "left")
+    smallest = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    of_class = placed.join(smallest, "component", "left")
+    moved = of_class.where("copies > 1 or component is not null").select(F.struct("d1", "d2").alias("__set"), F.coalesce("least", "doc_id").alias("component_id"))
     rows = scanned.select("doc_id", "n_shingles", F.struct("d1", "d2").alias("__set"))
     out = salted_left_join(rows, moved, "__set", "doc_id")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
@@ -321,6 +429,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df``, with all their columns, whose id is the smallest of its component."""
+    """The rows of ``df``, with all their columns, whose id is the smallest of its component.
+
+    Every row of an id goes when one of them is linked with a smaller id; rows without an id stay."""
     gone = near_classes(df, id_col, text_col, width, percent).where("not kept").select(id_col).distinct()
     return df.join(gone, id_col, "left_anti").select(*df.columns)

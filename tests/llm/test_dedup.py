@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import components, exact_dedup, near_dedup
 
@@ -63,6 +64,62 @@ def test_a_hot_group_around_the_threshold(spark):
     assert got == brute_near(rows, 3, 85)
 
 
+def near(spark, rows, width=3, percent=85):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_classes(df, width=width, percent=percent).collect()]
+
+
+@pytest.mark.parametrize("block", [512, 40])
+def test_a_large_group_that_no_star_joins(spark, monkeypatch, block):
+    """Many texts that are all a little below the threshold from each other, and some chains of links among them."""
+    monkeypatch.setattr(near_dedup, "PAIRED", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(4), 3) + rng.sample(range(8, 100, 6), 3):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+        if i % 7 == 0:
+            rows.append((1000 - i, " ".join([*words[:95], "end", "of", "it"])))
+    want = brute_near(rows, 3, 85)
+    assert 20 < len({c for _, c, _ in want.values()}) < len(rows)
+    assert {i: x for i, *x in near(spark, rows)} == {i: list(x) for i, x in want.items()}
+
+
+def test_tile_links():
+    rng = np.random.default_rng(2)
+    base = np.arange(300, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(300) < 0.06, rng.integers(300, 340, 300), base)).astype(np.uint64) for _ in range(60)] + [np.arange(10**6 + 50 * i, 10**6 + 50 * i + 40, dtype=np.uint64) for i in range(5)]
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    links = near_dedup.tile_links(sets, 85)
+    assert {(max(x), min(x)) for x in links} <= want
+    roots = list(range(len(sets)))
+    for some in (want, links):
+        labels = list(range(len(sets)))
+        for a, b in some:
+            labels = [labels[a] if x == labels[b] else x for x in labels]
+        groups = {frozenset(i for i in roots if labels[i] == x) for x in labels}
+        assert some is want and (first := groups) or groups == first
+
+
+def test_rows_that_repeat_an_id_keep_all_links(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (1, ""), (4, "alone")]
+    got = sorted(near(spark, rows))
+    assert [(i, c, k) for i, _, c, k in got] == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_low_thresholds_and_long_texts(spark, corpus):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [*corpus[:40], (5000, " ".join(words)), (5001, " ".join(words[3000:])), (5002, "y" * 6_000_000), (5003, " ".join(words[:20_000]))]
+    got = {i: tuple(x) for i, *x in near(spark, rows, 5, 60)}
+    assert got == brute_near(rows, 5, 60)
+
+
 def test_guaranteed_distance():
     """Signatures that differ in at most 2 * chunks - 1 symbols share a key, wherever the errors lie."""
     rng = np.random.default_rng(0)
@@ -115,17 +172,60 @@ def test_no_rows(empty):
 def test_cuckoo_index_against_a_dictionary():
     rng = random.Random(0)
     index, model = exact_dedup.CuckooIndex(4), {}
-    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(400)]
-    for step in range(6000):
-        d = rng.choice(digests)
-        assert index.find(d) == model.get(d)
-        if d in model:
-            assert index.delete(d)
-            del model[d]
-        if rng.random() < 0.7:
-            index.insert(d, step, 1)
-            model[d] = (step, 1)
-    assert index.resizes > 0
-    assert {d: (k, n) for d, k, n in index} == model
-    assert index.live == len(model)
-    assert not index.delete(b"\0" * 32)
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(900)]
+    as_keys = lambda some: np.frombuffer(b"".join(some), np.uint64).reshape(-1, 4)
+    for step in range(400):
+        some = rng.sample(digests, rng.choice([1, 1, 3, 40]))
+        at = index.find(as_keys(some))
+        assert [(index.kept[i], index.copies[i]) if i >= 0 else None for i in at] == [model.get(d) for d in some]
+        if rng.random() < 0.3:
+            assert index.delete(as_keys(some)).tolist() == [model.pop(d, None) is not None for d in some]
+            continue
+        ids = np.array([rng.randrange(1000) for _ in some])
+        index.add(as_keys(some), ids, np.ones(len(some), bool), np.full(len(some), 2), larger=True)
+        for d, i in zip(some, ids.tolist(), strict=True):
+            had = model.get(d, (-1, 0))
+            model[d] = (max(i, had[0]), had[1] + 2)
+        if step % 50 == 0:
+            index = exact_dedup.CuckooIndex.from_bytes(index.to_bytes())
+    keys, kept, known, copies = index.entries()
+    assert index.resizes > 0 and index.live == len(model) == len(keys) and known.all()
+    assert {k.tobytes(): (i, n) for k, i, n in zip(keys, kept.tolist(), copies.tolist(), strict=True)} == model
+    assert not index.delete(np.zeros((1, 4), np.uint64))[0]
+
+
+def test_cuckoo_hits_are_verified():
+    """Digests of one fingerprint and one bucket are told apart by the bucket's content; a full bucket makes room."""
+    keys = np.tile(np.array([[5, 1, 0, 0]], np.uint64), (30, 1))
+    keys[:, 3] = np.arange(30)
+    index = exact_dedup.CuckooIndex(4)
+    half = keys[:6]
+    index.insert(half, np.arange(6), np.ones(6, bool), np.ones(6, np.int64))
+    assert (index.find(half) >= 0).all()
+    assert (index.find(keys[6:]) == -1).all()
+
+
+def test_index_is_inserted_into_deleted_from_and_reopened(spark):
+    def batch(texts):
+        return spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", exact_dedup.digest_of(F.col("text")).alias("digest"))
+
+    def live(index):
+        return sorted((r.kept, r.copies) for r in index.entries().collect())
+
+    index = exact_dedup.DigestIndex.create(spark, 10)
+    index.insert(batch([(1, "a"), (2, "a"), (3, "b"), (None, "c")]))
+    index.insert(batch([(9, "a"), (4, "d"), (5, "c")]))
+    assert live(index) == [(3, 1), (4, 1), (5, 2), (9, 3)]
+    index.delete(batch([(None, "a"), (None, "never seen")]))
+    again = exact_dedup.DigestIndex.reopen(spark, index.path, index.shards, index.version)
+    assert live(again) == [(3, 1), (4, 1), (5, 2)]
+    again.insert(batch([(7, "a")]))
+    assert live(again) == [(3, 1), (4, 1), (5, 2), (7, 1)]
+
+
+def test_exact_groups_of_repeated_and_null_ids(spark):
+    rows = [(1, "a", "x"), (1, "a", "y"), (None, "a", "x"), (None, "b", "x"), (None, "b", "x"), (2, None, "x"), (3, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect()), key=str)
+    assert got == sorted([(1, 1, 3, True), (1, 1, 3, True), (None, 1, 3, False), (None, None, 2, True), (None, None, 2, True), (2, 3, 2, False), (3, 3, 2, True)], key=str)
+    assert sorted((str(r.doc_id), r.text) for r in exact_dedup.drop_exact_copies(df).collect()) == [("1", "a"), ("3", ""), ("None", "b")]
