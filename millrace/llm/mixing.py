@@ -47,11 +47,13 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, id_col: str =
     is a source of its own, named None in ``weights``.  ``size_col`` weighs by a size (tokens, say; null
     or negative counts 0) instead of by rows.  The expected output has as many rows (or as much size) as the input.
     Rows with equal ids get equal counts; a null id is hashed as the empty string.  No rows: no rows.
+    Columns of ``df`` that have the new columns' names (of a table that was mixed before) are replaced.
 
     Only per-source totals (one row per source) are joined: broadcast when there are at most
     ``BROADCAST_SOURCES``, else salted, so that one source may hold any share of the rows.
     """
     c = {k: f"{prefix}{k}" for k in ("rate", "copies", "copy", "order")}
+    df = df.drop(*(n for n in c.values() if n in df.columns))
     size = F.lit(1.0) if size_col is None else F.greatest(F.coalesce(F.col(size_col).cast("double"), F.lit(0.0)), F.lit(0.0))
     name = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col).cast("string")))
     totals = df.select(name.alias("__source"), size.alias("__size")).groupBy("__source").agg(F.sum("__size").alias("__size"))
@@ -75,7 +77,11 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, id_col: str =
         repeated = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("__salt", salt(id_col)).join(repeated, ["__source", "__salt"])
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    draw = lambda i: F.size(F.filter("__cdf", lambda x: x <= unit(F.lit(str(seed)), ident, i.cast("string"))))
+
+    def draw(i: Column) -> Column:
+        drawn = F.array(unit(F.lit(str(seed)), ident, i.cast("string")))  # hashed once, not for every step of the distribution
+        return F.transform(drawn, lambda u: F.size(F.filter("__cdf", lambda x: x <= u)))[0]
+
     counted = joined.withColumn(c["copies"], F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda acc, i: acc + draw(i)))
     out = counted.where(F.col(c["copies"]) > 0).withColumn(c["copy"], F.explode(F.sequence(F.lit(0), F.col(c["copies"]) - 1)))
     out = out.withColumn(c["order"], F.md5(F.concat_ws(":", F.lit(f"order{seed}"), ident, F.col(c["copy"]).cast("string")).cast("binary")))

@@ -208,6 +208,14 @@ def test_mixing_rates(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_a_mixed_table_is_mixed_again(spark):
+    df = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    once = mixing.mix(df)
+    again = mixing.mix(once)
+    assert again.columns == once.columns
+    assert again.count() > 0
+
+
 def test_poisson_counts(spark):
     for rate in (0.3, 4.0, 700.0):
         df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source")).union(spark.createDataFrame([(10**6 + i, "b") for i in range(int(4000 * rate) if rate < 1 else 4)], "doc_id long, source string"))
