@@ -95,3 +95,8 @@ def fn_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").groupBy("s_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("s_suppkey", "s_acctbal"))).alias("m"))
     last = F.array_max(F.map_keys("m"))
     return maps.select("s_nationkey", F.size("m").alias("entries"), last.alias("last_key"), F.element_at("m", last).alias("last_value"))
+
+
+def injected_fault(probability: float, seed: Column) -> Column:
+    """F11 whether a call fails on purpose, with this probability, by a hash of the seed in place of chance."""
+    return F.pmod(F.xxhash64(seed), F.lit(1_000_000)) < F.lit(int(probability * 1_000_000))

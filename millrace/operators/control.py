@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import BEATS_SQL, beats
+from ..model import BEATS_SQL, beats, running_sum
 from ..declare import query
 from ..tables import table
 
@@ -196,12 +196,12 @@ def flow_busy(spark: SparkSession, sf_dir: str) -> DataFrame:
 MEMORY_LIMIT, MEMORY_SOFT = 200_000, 0.9
 
 
-@query(f"""WITH b AS (SELECT doc_id % 8 AS map_id, doc_id, sum(strlen(text)) OVER (PARTITION BY doc_id % 8, doc_id // 4096 ORDER BY doc_id)::BIGINT AS buffered FROM documents)
+@query(f"""WITH b AS (SELECT doc_id % 8 AS map_id, doc_id, sum(strlen(text)) OVER (PARTITION BY doc_id % 8 ORDER BY doc_id)::BIGINT AS buffered FROM documents)
 SELECT map_id, doc_id, buffered, NOT (buffered > {MEMORY_LIMIT} OR buffered / {MEMORY_LIMIT}.0 >= {MEMORY_SOFT}) AS admitted FROM b""")
 def flow_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T12 a packet is refused once buffered bytes pass the limit or nine tenths of it; buffers empty every 4096 blocks."""
-    filling = Window.partitionBy(F.col("doc_id") % 8, F.expr("doc_id div 4096")).orderBy("doc_id")
-    buffered = table(spark, sf_dir, "documents", "doc_id", "text").select((F.col("doc_id") % 8).alias("map_id"), "doc_id", F.sum(F.octet_length("text").cast("long")).over(filling).alias("buffered"))
+    """T12 a packet is refused once buffered bytes pass the limit or nine tenths of it; summed by chunks of a map's blocks."""
+    packets = table(spark, sf_dir, "documents", "doc_id", "text").select((F.col("doc_id") % 8).alias("map_id"), "doc_id", F.octet_length("text").cast("long").alias("size"))
+    buffered = running_sum(packets, "map_id", "doc_id", F.col("size"), "buffered").drop("size")
     return buffered.withColumn("admitted", ~((F.col("buffered") > MEMORY_LIMIT) | (F.col("buffered") / MEMORY_LIMIT >= MEMORY_SOFT)))
 
 

@@ -191,3 +191,10 @@ def executor_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     sign of % kept as on the JVM.  The 32-bit hash of the application comes as data."""
     h = F.floor("value") - 250
     return table(spark, sf_dir, "events", "event_id", "user_id", "value").select("event_id", F.abs((h + F.col("user_id") + F.col("event_id") % 20) % 10).alias("executor"))
+
+
+def checked_block_size(size: int, least: int, most: int) -> int:
+    """X20 a block size is taken only within its bounds."""
+    if not least <= size <= most:
+        raise ValueError(f"block size {size} is not between {least} and {most}")
+    return size

@@ -30,12 +30,12 @@ def latest_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data blocks and, per map, a checksum frame with sequence id -1."""
     data = blocks(spark, sf_dir).select("map_id", "seq_id", F.col("length").alias("value"))
-    sums = blocks(spark, sf_dir).groupBy("map_id").agg(F.sum(md5_int("doc_id")).alias("value"))
+    sums = blocks(spark, sf_dir).groupBy("map_id").agg(F.sum(md5_int("data")).alias("value"))
     return data.unionByName(sums.select("map_id", F.lit(NO_DATA).cast("long").alias("seq_id"), "value"))
 
 
 @query(f"""WITH {BLOCKS_SQL}, f AS (SELECT map_id, seq_id, length AS value FROM blocks
-  UNION ALL SELECT map_id, -1, sum({md5_int_sql("doc_id")})::BIGINT FROM blocks GROUP BY map_id)
+  UNION ALL SELECT map_id, -1, sum({md5_int_sql("data")})::BIGINT FROM blocks GROUP BY map_id)
 SELECT map_id, count(*) FILTER (seq_id >= 0) AS data_frames, count(*) FILTER (seq_id = -1) AS checksum_frames,
   max(value) FILTER (seq_id = -1) AS checksum FROM f GROUP BY map_id""")
 def frame_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,14 +65,14 @@ def dedup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BLOCKS_SQL}, p AS (SELECT m.map_id, p.partition_id FROM (SELECT DISTINCT map_id FROM blocks) m, (SELECT range::BIGINT AS partition_id FROM range(21)) p)
-SELECT p.map_id, p.partition_id, coalesce(sum({md5_int_sql("doc_id")}), -1)::BIGINT AS checksum FROM p LEFT JOIN blocks b
+SELECT p.map_id, p.partition_id, coalesce(sum({md5_int_sql("data")}), -1)::BIGINT AS checksum FROM p LEFT JOIN blocks b
 ON p.map_id = b.map_id AND p.partition_id = b.partition_id GROUP BY ALL""")
 def map_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6, I1, S2 sum of the blocks' checksums per (map, partition), -1 without blocks.  Here a block's checksum is an
     md5-derived integer, which the oracle can also make; ``crc_checksums`` has the real one."""
     rows = blocks(spark, sf_dir)
     cells = rows.select("map_id").distinct().withColumn("partition_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long"))))
-    sums = rows.groupBy("map_id", "partition_id").agg(F.sum(md5_int("doc_id")).alias("s"))
+    sums = rows.groupBy("map_id", "partition_id").agg(F.sum(md5_int("data")).alias("s"))
     return cells.join(sums, ["map_id", "partition_id"], "left").select("map_id", "partition_id", F.coalesce("s", F.lit(NO_DATA)).alias("checksum"))
 
 
@@ -92,14 +92,14 @@ def verified(expected: DataFrame, stored: DataFrame, read: DataFrame) -> DataFra
     return expected.join(stored, "map_id", "left").join(read, "map_id", "left").withColumn("status", status)
 
 
-@query(f"""WITH {BLOCKS_SQL}, s AS (SELECT map_id, sum({md5_int_sql("doc_id")})::BIGINT AS stored FROM blocks WHERE map_id <> 1 GROUP BY ALL),
-r AS (SELECT map_id, sum({md5_int_sql("doc_id")})::BIGINT AS read FROM blocks WHERE map_id <> 2 AND NOT (map_id = 3 AND seq_id = 0) GROUP BY ALL)
+@query(f"""WITH {BLOCKS_SQL}, s AS (SELECT map_id, sum({md5_int_sql("data")})::BIGINT AS stored FROM blocks WHERE map_id <> 1 GROUP BY ALL),
+r AS (SELECT map_id, sum({md5_int_sql("data")})::BIGINT AS read FROM blocks WHERE map_id <> 2 AND NOT (map_id = 3 AND seq_id = 0) GROUP BY ALL)
 SELECT e.map_id, stored, read, CASE WHEN stored IS NULL THEN 'MISSING_INDEX' WHEN read IS NULL AND stored > -1 THEN 'MISSING_DATA'
   WHEN read <> stored THEN 'MISMATCH' ELSE 'OK' END AS status
 FROM (SELECT DISTINCT map_id FROM blocks) e LEFT JOIN s ON e.map_id = s.map_id LEFT JOIN r ON e.map_id = r.map_id""")
 def checksum_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2, I3 with faults: map 1 lost its index, map 2 its data, map 3 one block."""
-    rows = blocks(spark, sf_dir).select("map_id", "seq_id", md5_int("doc_id").alias("c"))
+    rows = blocks(spark, sf_dir).select("map_id", "seq_id", md5_int("data").alias("c"))
     stored = rows.where("map_id <> 1").groupBy("map_id").agg(F.sum("c").alias("stored"))
     read = rows.where("map_id <> 2 and not (map_id = 3 and seq_id = 0)").groupBy("map_id").agg(F.sum("c").alias("read"))
     return verified(rows.select("map_id").distinct(), stored, read)

@@ -26,7 +26,7 @@ def worker_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.rollup(F.col("r_name").alias("dc"), F.col("n_name").alias("cluster")).agg(F.count("*").alias("total"), *by_state)
 
 
-@query("""WITH w AS (SELECT s_suppkey, 1 + s_suppkey % 4 AS weight FROM supplier WHERE s_suppkey <= 50), i AS (SELECT s_suppkey, weight, sum(weight) OVER (ORDER BY s_suppkey) AS hi, (SELECT sum(weight) FROM w) AS total FROM w),
+@query("""WITH w AS (SELECT s_suppkey, 1 + s_suppkey % 4 AS weight FROM supplier), i AS (SELECT s_suppkey, weight, sum(weight) OVER (ORDER BY s_suppkey) AS hi, (SELECT sum(weight) FROM w) AS total FROM w),
 d AS (SELECT (('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % (SELECT any_value(total) FROM i)) AS u FROM orders)
 SELECT s_suppkey AS worker, count(*) AS dispatched FROM d JOIN i ON u >= hi - weight AND u < hi GROUP BY ALL""")
 def dispatch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,12 +55,12 @@ def worker_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.withColumn("m", ((F.col("group_id") + F.col("place")) % F.col("n")).cast("int")).join(member, "m").select("group_id", "worker", "place")
 
 
-WEIGHTS_SQL = "workers AS (SELECT s_suppkey, 1 + s_suppkey % 4 AS weight FROM supplier WHERE s_suppkey <= 50)"
+WEIGHTS_SQL = "workers AS (SELECT s_suppkey, 1 + s_suppkey % 4 AS weight FROM supplier)"
 
 
 def weighted_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The workers that the SQL names, with weights 1 to 4."""
-    return table(spark, sf_dir, "supplier", "s_suppkey").where("s_suppkey <= 50").select("s_suppkey", (1 + F.col("s_suppkey") % 4).alias("weight"))
+    """A supplier per worker, with weights 1 to 4."""
+    return table(spark, sf_dir, "supplier", "s_suppkey").select("s_suppkey", (1 + F.col("s_suppkey") % 4).alias("weight"))
 
 
 def weight_intervals(workers: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def weight_intervals(workers: DataFrame) -> DataFrame:
 d AS (SELECT o_orderkey, {md5_int_sql("o_orderkey")} % (SELECT any_value(total) FROM i) AS u FROM orders)
 SELECT d.o_orderkey, i.s_suppkey FROM d JOIN i ON d.u >= i.hi - i.weight AND d.u < i.hi""")
 def weighted_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P4 over the workers that its SQL names; ``weighted_draws`` takes any number."""
+    """P4 every order is a request, every supplier a worker."""
     return weighted_draws(table(spark, sf_dir, "orders", "o_orderkey"), weighted_workers(spark, sf_dir))
 
 
@@ -94,7 +94,7 @@ TIMES_ASKED = 70
 r AS (SELECT s_suppkey, time, row_number() OVER (ORDER BY md5(s_suppkey || ':' || time)) AS place FROM t)
 SELECT s_suppkey, count(*) AS times FROM r WHERE place <= {TIMES_ASKED} GROUP BY ALL""")
 def times_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P5 over the workers that its SQL names; ``times_given`` takes any number."""
+    """P5 every supplier is a worker."""
     return times_given(weighted_workers(spark, sf_dir))
 
 
@@ -106,12 +106,12 @@ def times_given(workers: DataFrame) -> DataFrame:
     return first.groupBy("s_suppkey").agg(F.count("*").alias("times"))
 
 
-@query("""WITH r AS (SELECT event_id, 1 + user_id % 5 AS asked, sum(1 + user_id % 5) OVER (ORDER BY event_id) - (1 + user_id % 5) AS before FROM events WHERE event_id < 1000)
+@query("""WITH r AS (SELECT event_id, 1 + user_id % 5 AS asked, sum(1 + user_id % 5) OVER (ORDER BY event_id) - (1 + user_id % 5) AS before FROM events)
 SELECT event_id, ((before + j) % 25)::BIGINT AS worker FROM r, unnest(range(asked)) AS x(j)""")
 def roundrobin_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P6 over the requests that its SQL names; ``round_robin`` takes any number."""
+    """P6 every event is a request."""
     asked = (1 + F.col("user_id") % 5).alias("asked")
-    return round_robin(table(spark, sf_dir, "events", "event_id", "user_id").where("event_id < 1000").select("event_id", asked))
+    return round_robin(table(spark, sf_dir, "events", "event_id", "user_id").select("event_id", asked))
 
 
 def round_robin(requests: DataFrame, ring: int = 25) -> DataFrame:
@@ -197,5 +197,12 @@ def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(40).select(F.col("id").alias("attempt"), F.least(F.lit(300), (F.expr("id div 5") + 1) * 50).alias("wait_ms"))
 
 
+def dispatch(strategy: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 the dispatch of the strategy that a setting names."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no dispatch strategy {strategy!r}; there are {', '.join(sorted(STRATEGIES))}")
+    return STRATEGIES[strategy](spark, sf_dir)
+
+
 #: E3 dispatch strategies by name.
 STRATEGIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"weighted": weighted_dispatch, "times": times_dispatch, "round_robin": roundrobin_dispatch}

@@ -10,11 +10,13 @@ import pytest
 from helpers import same
 from pyspark.sql import functions as F
 
-from millrace.functions.scalar import packed_long, retry_wait
+from millrace.functions.scalar import injected_fault, packed_long, retry_wait
 from millrace.model import md5_int_sql, running_sum
 from millrace.operators import control, exchange, integrity, placement
 from millrace.sources import framed
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
@@ -163,3 +165,41 @@ def test_times_are_of_every_worker(spark):
     same(placement.times_given(every_worker(spark)), f"""WITH {EVERY}, t AS (SELECT s_suppkey, unnest(range(1, weight // (SELECT min(weight) FROM w) + 1)) AS time FROM w),
 r AS (SELECT s_suppkey, time, row_number() OVER (ORDER BY md5(s_suppkey || ':' || time)) AS place FROM t)
 SELECT s_suppkey, count(*) AS times FROM r WHERE place <= {placement.TIMES_ASKED} GROUP BY ALL""", LARGER)
+
+
+def test_injected_faults_have_their_probability(spark):
+    rows = spark.range(20_000)
+    share = rows.select(F.avg(injected_fault(0.2, F.col("id")).cast("int")).alias("x")).first()["x"]
+    assert 0.18 < share < 0.22
+    assert rows.where(injected_fault(0.0, F.col("id"))).count() == 0
+    assert rows.where(injected_fault(1.0, F.col("id"))).count() == 20_000
+
+
+@pytest.mark.parametrize(("size", "fits"), [(9, False), (10, True), (20, True), (21, False)])
+def test_block_size_bounds(size, fits):
+    if fits:
+        assert exchange.checked_block_size(size, 10, 20) == size
+    else:
+        with pytest.raises(ValueError, match="not between 10 and 20"):
+            exchange.checked_block_size(size, 10, 20)
+
+
+def test_dispatch_by_name(spark):
+    for name, f in placement.STRATEGIES.items():
+        assert placement.dispatch(name, spark, SMALL).columns == f(spark, SMALL).columns
+    with pytest.raises(ValueError, match="no dispatch strategy 'other'"):
+        placement.dispatch("other", spark, SMALL)
+
+
+def test_a_changed_byte_changes_the_checksum(spark):
+    rows = spark.createDataFrame([(1, "abc"), (1, "def")], "map_id int, data string")
+    other = spark.createDataFrame([(1, "abc"), (1, "dXf")], "map_id int, data string")
+    sums = [r.groupBy("map_id").agg(F.sum(integrity.md5_int("data")).alias(n)) for r, n in ((rows, "stored"), (other, "read"))]
+    assert [r.status for r in integrity.verified(rows.select("map_id").distinct(), *sums).collect()] == ["MISMATCH"]
+
+
+def test_buffered_bytes_are_never_reset(spark):
+    from millrace import registry
+
+    query = "flow_memory"
+    same(registry.QUERIES[query](spark, LARGER), registry.ORACLES[query], LARGER)
