@@ -8,7 +8,8 @@ scored in the longest state that its past ends in.
 
 Symbols and states grow with the corpus and are never gathered: positions are dealt by the word before them,
 so all contexts that end in that word, their counts and the positions they score meet in one bucket.  A word with
-more positions than a bucket is dealt with the word before it, too; its own counts are summed first.
+more positions than a bucket is dealt with the word before it, too; its own counts are summed first and sent to
+the buckets that ask for them, unless only one does.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ BUCKET = 1 << 19
 #: Buckets are dealt in so many rounds, each of which reads all texts, so that less lies on disk at once.
 ROUNDS = 2
 #: Positions that a task deals out at once.
-DEALT = 1 << 20
+DEALT = 1 << 19
 #: Words of at least this share, at most 1 / FREQUENT, go to every task with their counts; the rest are joined.
 FREQUENT = 5e-7
 HELD_OUT = 2  # of crc32(id) mod 7
@@ -57,7 +58,7 @@ def _merged(held: list) -> tuple:
     return unique, np.bincount(inverse, n).astype(np.int64)
 
 
-def _gathered(parts: Iterator[tuple], bound: int = 1_000_000) -> Iterator[tuple]:
+def _gathered(parts: Iterator[tuple], bound: int = 500_000) -> Iterator[tuple]:
     """Counts merged within the task; given out early when there are more than ``bound`` different."""
     held, rows = [], 0
     for x in parts:
@@ -217,28 +218,38 @@ class Positions(NamedTuple):
     row: np.ndarray
 
 
-def positions_of(column: pa.Array, model: Model) -> Positions:
+def positions_of(column: pa.Array, model: Model) -> Iterator[Positions]:
+    """The positions of some texts, ``DEALT`` at a time, however long a text is."""
     h, _, _, rows = flat.word_hashes(*flat.texts(column), lower=True)
     n = len(rows) - 1
     row = np.repeat(np.arange(n), np.diff(rows))
+    laid = np.full(len(h) + (DEPTH + 1) * n, START_HASH, flat.U)
     at = np.arange(len(h)) + (DEPTH + 1) * row + DEPTH
+    del row
     ends = rows[1:] + (DEPTH + 1) * np.arange(n) + DEPTH
-    laid = np.full(len(h) + (DEPTH + 1) * n, START_HASH, flat.U)
-    codes = np.zeros(len(laid), np.int32)
-    laid[at], laid[ends], codes[at], codes[ends] = h, END_HASH, model.code(h), 1
+    laid[at], laid[ends] = h, END_HASH
     where = np.sort(np.r_[at, ends])
-    return Positions([laid[where - i] for i in range(DEPTH + 1)], [codes[where - i] for i in range(DEPTH + 1)], np.repeat(np.arange(n), np.diff(rows) + 1))
+    del h, at
+    for a in range(0, len(where), DEALT):
+        part = where[a : a + DEALT]
+        own = laid[part[0] - DEPTH : part[-1] + 1]
+        codes = model.code(own).astype(np.int32)
+        codes[own == START_HASH], codes[own == END_HASH] = 0, 1
+        place = part - part[0] + DEPTH
+        yield Positions([own[place - i] for i in range(DEPTH + 1)], [codes[place - i] for i in range(DEPTH + 1)], np.searchsorted(ends, part))
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches put together to about ``DEALT`` positions, at six bytes each."""
+    """Batches put together, or cut between texts, to about ``DEALT`` positions, at six bytes each."""
     held, size = [], 0
     for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size > 6 * DEALT:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
+        for a, b in flat.chunks(flat.texts(batch.column(batch.num_columns - 1))[1], 6 * DEALT):
+            part = batch.slice(a, b - a)
+            held.append(part)
+            size += part.nbytes
+            if size > 6 * DEALT:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
     if size:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
@@ -250,17 +261,17 @@ def _asked(shared):
         model = shared.value
         for batch in _several(batches):
             train = ~batch.column(1).to_numpy(zero_copy_only=False)
-            x = positions_of(batch.column(2), model)
-            bucket = model.bucket(x.hashes[1], x.hashes[2])
-            rare = np.flatnonzero(x.codes[0] < 0)
-            _, first = np.unique(joined(x.hashes[0][rare], bucket[rare].astype(flat.U)), return_index=True)
-            rare = rare[first]
-            yield _facts(bucket[rare], pa.nulls(len(rare), pa.int64()), x.hashes[0][rare], np.zeros(len(rare), np.int64))
-            hot = np.flatnonzero(found(model.hot, x.hashes[1])[1])
-            _, first, inverse = np.unique(joined(joined(x.hashes[1][hot], x.hashes[0][hot]), bucket[hot].astype(flat.U)), return_index=True, return_inverse=True)
-            n = np.bincount(inverse, train[x.row[hot]], len(first)).astype(np.int64)
-            hot = hot[first]
-            yield _facts(bucket[hot], flat.signed(x.hashes[1][hot]), x.hashes[0][hot], n)
+            for x in positions_of(batch.column(2), model):
+                bucket = model.bucket(x.hashes[1], x.hashes[2])
+                rare = np.flatnonzero(x.codes[0] < 0)
+                _, first = np.unique(joined(x.hashes[0][rare], bucket[rare].astype(flat.U)), return_index=True)
+                rare = rare[first]
+                yield _facts(bucket[rare], pa.nulls(len(rare), pa.int64()), x.hashes[0][rare], np.zeros(len(rare), np.int64))
+                hot = np.flatnonzero(found(model.hot, x.hashes[1])[1])
+                _, first, inverse = np.unique(joined(joined(x.hashes[1][hot], x.hashes[0][hot]), bucket[hot].astype(flat.U)), return_index=True, return_inverse=True)
+                n = np.bincount(inverse, train[x.row[hot]], len(first)).astype(np.int64)
+                hot = hot[first]
+                yield _facts(bucket[hot], flat.signed(x.hashes[1][hot]), x.hashes[0][hot], n)
 
     return run
 
@@ -274,15 +285,15 @@ def _dealt(shared, turn: int):
         model = shared.value
         for batch in _several(batches):
             ids, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            x = positions_of(batch.column(2), model)
-            bucket = model.bucket(x.hashes[1], x.hashes[2])
-            order = np.argsort(bucket, kind="stable")
-            order = order[bucket[order] % ROUNDS == turn]
-            if not len(order):
-                continue
-            cuts = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1, len(order)]
-            blocks = [_block(x, order[a:b], ids, held) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts[:-1]]].astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "body"])
+            for x in positions_of(batch.column(2), model):
+                bucket = model.bucket(x.hashes[1], x.hashes[2])
+                order = np.argsort(bucket, kind="stable")
+                order = order[bucket[order] % ROUNDS == turn]
+                if not len(order):
+                    continue
+                cuts = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1, len(order)]
+                blocks = [_block(x, order[a:b], ids, held) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts[:-1]]].astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "body"])
 
     return run
 
@@ -350,8 +361,8 @@ def score_bucket(blocks: list[bytes], w: np.ndarray, s: np.ndarray, n: np.ndarra
             at_hot, is_hot = found(model.hot, c)
             if is_hot.any():
                 at, hit = found(pair, g)
-                hot_g = is_hot[of]
-                seen[hot_g] = np.where(hit, pair_n[at], 0)[hot_g] if len(pair) else 0
+                here = is_hot[of] & hit  # pairs that other buckets have, too
+                seen[here] = pair_n[at[here]]
                 mass[is_hot], kinds[is_hot] = model.hot_mass[at_hot[is_hot]], model.hot_kinds[at_hot[is_hot]]
         parent = p[first]
         gain = np.bincount(of, np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(mass[of], 1) / parent), 0), len(c))
@@ -426,7 +437,7 @@ def _scores(shared):
         for x in merged():
             parts.append(x)
             rows += x.num_rows
-            if rows > 1_000_000:
+            if rows > 500_000:
                 yield from _summed(parts)
                 parts, rows = [], 0
         if parts:
@@ -489,7 +500,8 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rows = [gains[int(h.astype(np.int64))] for h in hot_hashes]
         kinds = np.array([r["kinds"] for r in rows], float)
         model = model._replace(hot_kinds=kinds, hot_ok=np.array([r["gain"] for r in rows]) >= kinds * np.log(max(total, 2)) / 2)
-        facts = facts.union(pairs.select(F.explode("buckets").alias("bucket"), "w", "s", "n"))
+        # a pair that one bucket has alone is counted there
+        facts = facts.union(pairs.where(F.size("buckets") > 1).select(F.explode("buckets").alias("bucket"), "w", "s", "n"))
 
     facts = cut(facts, "facts")
     discard(spark, asked, *([pairs] if pairs is not None else []))
