@@ -8,8 +8,11 @@ scored in the longest state that its past ends in.
 
 Symbols and states grow with the corpus and are never gathered: positions are dealt by the word before them,
 so all contexts that end in that word, their counts and the positions they score meet in one bucket.  A word with
-more positions than a bucket is dealt with the word before it, too; its own counts are summed first and sent to
-the buckets that ask for them, unless only one does.
+more positions than a bucket is dealt by the word before it, too, to as many buckets as its positions need; its own
+counts are summed first and sent to the buckets that ask for them, unless only one does.
+
+What a text's frequent words add to its base is summed where the text is read.  The rest of its sums leaves each
+bucket packed, many texts to a row, as multiples of 1 / ``UNIT``, so that the order of summing does not show.
 """
 
 from __future__ import annotations
@@ -31,7 +34,12 @@ DEPTH, BITS = 3, 10
 #: Occurrences of a state.
 LEAST = 2
 #: Positions of a bucket, about.
-BUCKET = 1 << 19
+BUCKET = 1 << 18
+#: Parts of a word with more positions than a bucket: so many to a bucket.
+PARTS = 2
+#: Buckets whose number of texts, about, is summed at once.
+SHARD = 4
+UNIT = 1 << 32
 #: Buckets are dealt in so many rounds, each of which reads all texts, so that less lies on disk at once.
 ROUNDS = 2
 #: Positions that a task deals out at once.
@@ -40,7 +48,7 @@ DEALT = 1 << 19
 FREQUENT = 5e-7
 HELD_OUT = 2  # of crc32(id) mod 7
 END_WORD = b"\n"
-SUMS = ("n_tokens", "n_known", "base", "score")
+SUMS = ("n_known", "base", "score")
 START, END, OTHER, FIRST = 0, 1, 2, 3
 MASK = (1 << BITS) - 1
 START_HASH = flat.mix(np.array([0x5354415254], flat.U))[0]
@@ -173,7 +181,8 @@ def build_tree(counts: list[tuple[np.ndarray, np.ndarray]], alphabet: int) -> Tr
 
 class Model(NamedTuple):
     """Frequent words: hashes (ascending), their codes; by code hashes and counts (START and END are 0 and 1).
-    Words with more positions than a bucket: hashes (ascending), occurrences, kinds of next symbols, whether they diverge."""
+    Words with more positions than a bucket: hashes (ascending), occurrences, kinds of next symbols, whether they diverge,
+    parts, and the bucket of the first part (the others follow)."""
 
     words: np.ndarray
     codes: np.ndarray
@@ -185,6 +194,8 @@ class Model(NamedTuple):
     hot_mass: np.ndarray
     hot_kinds: np.ndarray
     hot_ok: np.ndarray
+    hot_parts: np.ndarray
+    hot_first: np.ndarray
 
     def code(self, h: np.ndarray) -> np.ndarray:
         """The code of each hash, -1 of words that are not frequent."""
@@ -194,8 +205,11 @@ class Model(NamedTuple):
 
     def bucket(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """By the word before, of hot words by the two words before."""
-        key = np.where(found(self.hot, one)[1], joined(one, two), one) if len(self.hot) else one
-        return (flat.mix(key) % flat.U(self.buckets)).astype(np.uint16 if self.buckets <= 1 << 16 else np.int32)
+        out = flat.mix(one) % flat.U(self.buckets)
+        at, is_hot = found(self.hot, one)
+        at = at[is_hot]
+        out[is_hot] = (self.hot_first[at] + flat.mix(two[is_hot]) % self.hot_parts[at]) % flat.U(self.buckets)
+        return out.astype(np.uint16 if self.buckets <= 1 << 16 else np.int32)
 
 
 def found(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,13 +269,20 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _asked(shared):
-    """(bucket, null, s, 0) for each word s that is not frequent; (bucket, w, s, n) for words after a hot one, n times in training."""
+    """(bucket, null, s, 0) for each word s that is not frequent; (bucket, w, s, n) for words after a hot one, n times in
+    training; for each document its tokens, and the known ones and the base of its frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in _several(batches):
-            train = ~batch.column(1).to_numpy(zero_copy_only=False)
+            ids, train = batch.column(0).to_numpy(), ~batch.column(1).to_numpy(zero_copy_only=False)
             for x in positions_of(batch.column(2), model):
+                frequent = x.codes[0] >= 0
+                count = model.counts[x.codes[0][frequent]]
+                row, first = np.unique(x.row, return_index=True)
+                of, many = x.row - row[0], len(ids)
+                known, base = (np.bincount(of[frequent], v, many)[row - row[0]] for v in (count > 0, np.log10((count + 1) / model.total)))
+                yield _own(ids[row], np.diff(np.r_[first, len(of)]), known, base)
                 bucket = model.bucket(x.hashes[1], x.hashes[2])
                 rare = np.flatnonzero(x.codes[0] < 0)
                 _, first = np.unique(joined(x.hashes[0][rare], bucket[rare].astype(flat.U)), return_index=True)
@@ -276,8 +297,18 @@ def _asked(shared):
     return run
 
 
+ASKED = "bucket int, w long, s long, n long, doc_id long, n_known long, base double"
+ASKED_NAMES = ["bucket", "w", "s", "n", "doc_id", "n_known", "base"]
+
+
 def _facts(bucket, w, s, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), w, flat.signed(s), pa.array(n)], names=["bucket", "w", "s", "n"])
+    none = (pa.nulls(len(n), t) for t in (pa.int64(), pa.int64(), pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), w, flat.signed(s), pa.array(n), *none], names=ASKED_NAMES)
+
+
+def _own(doc, n, known, base) -> pa.RecordBatch:
+    none = (pa.nulls(len(n), t) for t in (pa.int32(), pa.int64(), pa.int64()))
+    return pa.RecordBatch.from_arrays([*none, pa.array(n.astype(np.int64)), pa.array(doc), pa.array(known.astype(np.int64)), pa.array(base)], names=ASKED_NAMES)
 
 
 def _dealt(shared, turn: int):
@@ -335,7 +366,7 @@ def _unblock(body: bytes, model: Model) -> tuple[np.ndarray, ...]:
 
 
 def score_bucket(blocks: list[bytes], w: np.ndarray, s: np.ndarray, n: np.ndarray, model: Model) -> Iterator[pa.RecordBatch]:
-    """Partial sums of the bucket's documents; ``w``, ``s``, ``n``: counts of words (w is 0) and of words after hot ones."""
+    """Partial sums of the bucket's documents (known and base of words that are not frequent only); ``w``, ``s``, ``n``: counts of words (w is 0) and of words after hot ones."""
     doc, held, count, *hashes = (np.concatenate(x) for x in zip(*(_unblock(b, model) for b in blocks), strict=True))
     train = (~held).astype(float)
     rare = np.flatnonzero(count < 0)
@@ -384,23 +415,23 @@ def score_bucket(blocks: list[bytes], w: np.ndarray, s: np.ndarray, n: np.ndarra
         longest[states[d - 1][ids[d - 1]]] = d
     if open_hot.any():
         ends = np.unique(hashes[1][open_hot & (longest > 0)])
-        yield _sums(None, np.ones(len(ends), bool), flat.signed(ends), np.zeros((len(ends), 4)))
+        yield _sums(None, np.ones(len(ends), bool), flat.signed(ends), np.zeros((len(ends), 3)))
         longest[open_hot & (longest == 1)] = 0
         at = np.flatnonzero(open_hot & (longest == 0))
         _, first, inverse = np.unique(joined(doc[at].view(flat.U), hashes[1][at]), return_index=True, return_inverse=True)
-        values = np.zeros((len(first), 4))
-        values[:, 3] = np.bincount(inverse, (logs[1] - logs[0])[at], len(first))
+        values = np.zeros((len(first), 3))
+        values[:, 2] = np.bincount(inverse, (logs[1] - logs[0])[at], len(first))
         yield _sums(doc[at][first], np.zeros(len(first), bool), flat.signed(hashes[1][at][first]), values)
     score = np.choose(longest, logs)
     unique, inverse = np.unique(doc, return_inverse=True)
-    values = np.column_stack([np.bincount(inverse, x, len(unique)) for x in (np.ones(len(doc)), count > 0, logs[0], score)])
+    of = inverse[rare]
+    values = np.column_stack([np.bincount(of, count[rare] > 0, len(unique)), np.bincount(of, logs[0][rare], len(unique)), np.bincount(inverse, score, len(unique))])
     yield _sums(unique, np.zeros(len(unique), bool), pa.nulls(len(unique), pa.int64()), values)
 
 
 def _sums(doc, is_state, hot, values: np.ndarray) -> pa.RecordBatch:
     ids = pa.nulls(len(values), pa.int64()) if doc is None else pa.array(doc)
-    whole = [pa.array(values[:, i].astype(np.int64)) for i in (0, 1)]
-    return pa.RecordBatch.from_arrays([ids, pa.array(is_state), hot, *whole, pa.array(values[:, 2].copy()), pa.array(values[:, 3].copy())], names=["doc_id", "is_state", "hot", "n_tokens", "n_known", "base", "score"])
+    return pa.RecordBatch.from_arrays([ids, pa.array(is_state), hot, pa.array(values[:, 0].astype(np.int64)), *(pa.array(values[:, i].copy()) for i in (1, 2))], names=["doc_id", "is_state", "hot", *SUMS])
 
 
 def _scores(shared):
@@ -433,23 +464,76 @@ def _scores(shared):
             if held:
                 yield from done()
 
-        parts, rows = [], 0
-        for x in merged():
-            parts.append(x)
-            rows += x.num_rows
-            if rows > 500_000:
-                yield from _summed(parts)
-                parts, rows = [], 0
-        if parts:
-            yield from _summed(parts)
+        for t in _summed(merged()):
+            yield from _packed(t, max(1, model.buckets // SHARD))
 
     return run
 
 
-def _summed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(parts: Iterator[pa.RecordBatch], bound: int = 500_000) -> Iterator[pa.Table]:
     """Sums of a document from several buckets as one."""
-    t = pa.Table.from_batches(parts).group_by(["doc_id", "is_state", "hot"]).aggregate([(c, "sum") for c in SUMS])
-    yield from t.rename_columns([c.removesuffix("_sum") for c in t.column_names]).to_batches()
+    held, rows = [], 0
+
+    def total() -> pa.Table:
+        t = pa.Table.from_batches(held).group_by(["doc_id", "is_state", "hot"]).aggregate([(c, "sum") for c in SUMS])
+        return t.rename_columns([c.removesuffix("_sum") for c in t.column_names])
+
+    for x in parts:
+        held.append(x)
+        rows += x.num_rows
+        if rows > bound:
+            yield total()
+            held, rows = [], 0
+    if held:
+        yield total()
+
+
+def _packed(t: pa.Table, shards: int) -> Iterator[pa.RecordBatch]:
+    """(null, hot, null) for hot words that are states; (shard, null, body) with the sums of the shard's documents in byte planes."""
+    is_state = t.column("is_state").to_numpy()
+    states = pc.unique(t.column("hot").filter(pa.array(is_state)))
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(states), pa.int32()), states, pa.nulls(len(states), pa.binary())], names=["shard", "hot", "body"])
+    t = t.filter(pa.array(~is_state))
+    if not t.num_rows:
+        return
+    doc, hot, known = (t.column(c).fill_null(0).to_numpy() for c in ("doc_id", "hot", "n_known"))
+    fixed = [np.rint(t.column(c).to_numpy() * UNIT).astype(np.int64) for c in ("base", "score")]
+    shard = (flat.mix(doc.view(flat.U)) % flat.U(shards)).astype(np.int32)
+    order = np.lexsort((hot, doc, shard))
+    cuts = np.r_[0, np.flatnonzero(np.diff(shard[order])) + 1, len(order)]
+    bodies = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        at = order[a:b]
+        columns = [np.diff(doc[at], prepend=0), hot[at], known[at], *(x[at] for x in fixed)]
+        planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+        bodies.append(np.array([len(at)], np.int64).tobytes() + pa.compress(planes, "zstd", asbytes=True))
+    yield pa.RecordBatch.from_arrays([pa.array(shard[order[cuts[:-1]]]), pa.nulls(len(bodies), pa.int64()), pa.array(bodies, pa.binary())], names=["shard", "hot", "body"])
+
+
+def _unpacked(body: bytes) -> list[np.ndarray]:
+    """document, hot word or 0, and its sums, of each row"""
+    n = int(np.frombuffer(body, np.int64, 1)[0])
+    planes = np.frombuffer(pa.decompress(body[8:], 40 * n, "zstd", asbytes=True), np.uint8).reshape(5, 8, n)
+    doc, *others = (np.ascontiguousarray(x.T).view(np.int64)[:, 0] for x in planes)
+    return [np.cumsum(doc), *others]
+
+
+def _of_documents(states: np.ndarray):
+    """The sums of each document from its shard's rows, those of hot words if these are among ``states``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for body in batch.column(1):
+                    doc, hot, known, *fixed = _unpacked(body.as_py())
+                    taken = (hot == 0) | np.isin(hot, states)
+                    values = np.column_stack([known[taken], *(x[taken] / UNIT for x in fixed)])
+                    yield _sums(doc[taken], np.zeros(len(values), bool), pa.nulls(len(values), pa.int64()), values)
+
+        for t in _summed(parts()):
+            yield from t.select(["doc_id", *SUMS]).to_batches()
+
+    return run
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -479,18 +563,21 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = np.argsort(hashes)
     none = np.zeros(0)
     buckets = max(1, int(n_train * 7 // 6 // BUCKET))
-    model = Model(hashes[order], (order + 2).astype(np.int32), np.r_[np.array([START_HASH, END_HASH], flat.U), hashes], np.r_[0.0, n_ends, counts], buckets, total, none.astype(flat.U), none, none, none.astype(bool))
+    few = none.astype(flat.U)
+    model = Model(hashes[order], (order + 2).astype(np.int32), np.r_[np.array([START_HASH, END_HASH], flat.U), hashes], np.r_[0.0, n_ends, counts], buckets, total, few, none, none, none.astype(bool), few, few)
 
     hot = {int(r["word"]): float(r["n"]) for r in words.where((F.col("n") > BUCKET) & (F.col("word") != end_key)).collect()}
     if n_ends > BUCKET:
         hot[int(START_HASH.astype(np.int64))] = n_ends
     hot_hashes = np.sort(np.array(list(hot), np.int64).view(flat.U))
     mass = np.array([hot[int(h.astype(np.int64))] for h in hot_hashes])
-    model = model._replace(hot=hot_hashes, hot_mass=mass, hot_kinds=np.ones(len(mass)), hot_ok=np.zeros(len(mass), bool))
+    parts = np.minimum(np.ceil(PARTS * mass / BUCKET), buckets).astype(flat.U)
+    model = model._replace(hot=hot_hashes, hot_mass=mass, hot_kinds=np.ones(len(mass)), hot_ok=np.zeros(len(mass), bool), hot_parts=parts, hot_first=np.cumsum(parts) - parts)
 
-    asked = cut(docs.mapInArrow(_asked(spark.sparkContext.broadcast(model)), "bucket int, w long, s long, n long"), "asked")
+    asked = cut(docs.mapInArrow(_asked(spark.sparkContext.broadcast(model)), ASKED), "asked")
+    own = cut(asked.where("doc_id is not null").select("doc_id", F.col("n").alias("n_tokens"), "n_known", "base"), "own")
     counted = words.select(F.col("word").alias("s"), F.col("n").alias("__n"))
-    facts = asked.where("w is null").select("bucket", "s").distinct().join(counted, "s").select("bucket", F.lit(0).cast("long").alias("w"), "s", F.col("__n").alias("n"))
+    facts = asked.where("s is not null and w is null").select("bucket", "s").distinct().join(counted, "s").select("bucket", F.lit(0).cast("long").alias("w"), "s", F.col("__n").alias("n"))
     pairs = None
     if hot:
         pairs = cut(asked.where("w is not null").groupBy("w", "s").agg(F.sum("n").alias("n"), F.collect_set("bucket").alias("buckets")).where("n > 0"), "pairs")
@@ -511,11 +598,11 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         blocks = docs.mapInArrow(_dealt(shared, turn), "bucket int, body binary").select("bucket", "body", *(F.lit(None).cast("long").alias(c) for c in "wsn"))
         dealt = blocks.union(facts.where(F.col("bucket") % ROUNDS == turn).select("bucket", F.lit(None).cast("binary").alias("body"), "w", "s", "n"))
         spread = dealt.repartition("bucket").sortWithinPartitions("bucket")
-        parts = spread.mapInArrow(_scores(shared), "doc_id long, is_state boolean, hot long, n_tokens long, n_known long, base double, score double")
-        turns.append(cut(parts.groupBy("doc_id", "is_state", "hot").agg(*(F.sum(x).alias(x) for x in SUMS)), "scores"))
+        turns.append(cut(spread.mapInArrow(_scores(shared), "shard int, hot long, body binary"), "scores"))
     discard(spark, facts)
     sums = reduce(DataFrame.union, turns)
-    states = [r["hot"] for r in sums.where("is_state").select("hot").distinct().collect()] if not model.hot_ok.all() else []
-    taken = sums.where(~F.col("is_state") & (F.col("hot").isNull() | F.col("hot").isin(states)))
-    out = taken.groupBy("doc_id").agg(*(F.sum(x).alias(x) for x in SUMS))
+    states = np.array([r["hot"] for r in sums.where("hot is not null").select("hot").distinct().collect()] if not model.hot_ok.all() else [], np.int64)
+    rest = sums.where("body is not null").select("shard", "body").repartition("shard").mapInArrow(_of_documents(states), "doc_id long, n_known long, base double, score double")
+    both = own.withColumn("score", F.lit(0.0)).unionByName(rest.withColumn("n_tokens", F.lit(0).cast("long")))
+    out = both.groupBy("doc_id").agg(*(F.sum(x).alias(x) for x in ("n_tokens", *SUMS)))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
