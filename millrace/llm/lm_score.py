@@ -8,8 +8,8 @@ scored in the longest state that its past ends in.
 
 Symbols and states grow with the corpus and are never gathered: positions are dealt by the word before them,
 so all contexts that end in that word, their counts and the positions they score meet in one bucket.  A word with
-more positions than a bucket is dealt by the word before it, too, to as many buckets as its positions need; its own
-counts are summed first and sent to the buckets that ask for them, unless only one does.
+more positions than a bucket is dealt by the word before it, too, to as many buckets of its own as its positions need;
+its counts are summed first and sent to the buckets that ask for them, unless only one does.
 
 What a text's frequent words add to its base is summed where the text is read.  The rest of its sums leaves each
 bucket packed, many texts to a row, as multiples of 1 / ``UNIT``, so that the order of summing does not show.
@@ -34,16 +34,14 @@ DEPTH, BITS = 3, 10
 #: Occurrences of a state.
 LEAST = 2
 #: Positions of a bucket, about.
-BUCKET = 1 << 18
-#: Parts of a word with more positions than a bucket: so many to a bucket.
-PARTS = 2
+BUCKET = 1 << 19
 #: Buckets whose number of texts, about, is summed at once.
 SHARD = 4
 UNIT = 1 << 32
 #: Buckets are dealt in so many rounds, each of which reads all texts, so that less lies on disk at once.
 ROUNDS = 2
 #: Positions that a task deals out at once.
-DEALT = 1 << 19
+DEALT = 1 << 20
 #: Words of at least this share, at most 1 / FREQUENT, go to every task with their counts; the rest are joined.
 FREQUENT = 5e-7
 HELD_OUT = 2  # of crc32(id) mod 7
@@ -182,7 +180,7 @@ def build_tree(counts: list[tuple[np.ndarray, np.ndarray]], alphabet: int) -> Tr
 class Model(NamedTuple):
     """Frequent words: hashes (ascending), their codes; by code hashes and counts (START and END are 0 and 1).
     Words with more positions than a bucket: hashes (ascending), occurrences, kinds of next symbols, whether they diverge,
-    parts, and the bucket of the first part (the others follow)."""
+    parts, and the bucket of the first part (the others follow).  ``buckets`` is for all other words."""
 
     words: np.ndarray
     codes: np.ndarray
@@ -199,17 +197,24 @@ class Model(NamedTuple):
 
     def code(self, h: np.ndarray) -> np.ndarray:
         """The code of each hash, -1 of words that are not frequent."""
-        unique, inverse = np.unique(h, return_inverse=True)
-        at, hit = found(self.words, unique)
-        return np.where(hit, self.codes[at], -1)[inverse] if len(self.words) else np.full(len(h), -1)
+        unique, _, inverse = grouped(h)
+        order = np.argsort(unique)
+        at, hit = found(self.words, unique[order])
+        out = np.full(len(unique), -1, np.int32)
+        out[order[hit]] = self.codes[at[hit]]
+        return out[inverse]
 
     def bucket(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """By the word before, of hot words by the two words before."""
         out = flat.mix(one) % flat.U(self.buckets)
         at, is_hot = found(self.hot, one)
         at = at[is_hot]
-        out[is_hot] = (self.hot_first[at] + flat.mix(two[is_hot]) % self.hot_parts[at]) % flat.U(self.buckets)
-        return out.astype(np.uint16 if self.buckets <= 1 << 16 else np.int32)
+        out[is_hot] = self.hot_first[at] + flat.mix(two[is_hot]) % self.hot_parts[at]
+        return out.astype(np.uint16 if self.all_buckets <= 1 << 16 else np.int32)
+
+    @property
+    def all_buckets(self) -> int:
+        return self.buckets + int(self.hot_parts.sum())
 
 
 def found(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,6 +225,15 @@ def found(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == key
 
 
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different keys, a place of each, which of them each key is)"""
+    coded = pa.array(key).dictionary_encode()
+    unique, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    place = np.zeros(len(unique), np.int64)
+    place[which] = np.arange(len(which))
+    return unique, place, which
+
+
 def joined(a: np.ndarray, b: np.ndarray, mult: int = flat.MULT) -> np.ndarray:
     return flat.mix(a * flat.U(mult) + b)
 
@@ -247,7 +261,7 @@ def positions_of(column: pa.Array, model: Model) -> Iterator[Positions]:
     for a in range(0, len(where), DEALT):
         part = where[a : a + DEALT]
         own = laid[part[0] - DEPTH : part[-1] + 1]
-        codes = model.code(own).astype(np.int32)
+        codes = model.code(own)
         codes[own == START_HASH], codes[own == END_HASH] = 0, 1
         place = part - part[0] + DEPTH
         yield Positions([own[place - i] for i in range(DEPTH + 1)], [codes[place - i] for i in range(DEPTH + 1)], np.searchsorted(ends, part))
@@ -279,17 +293,17 @@ def _asked(shared):
             for x in positions_of(batch.column(2), model):
                 frequent = x.codes[0] >= 0
                 count = model.counts[x.codes[0][frequent]]
-                row, first = np.unique(x.row, return_index=True)
+                first = np.flatnonzero(np.diff(x.row, prepend=-1))
+                row = x.row[first]
                 of, many = x.row - row[0], len(ids)
                 known, base = (np.bincount(of[frequent], v, many)[row - row[0]] for v in (count > 0, np.log10((count + 1) / model.total)))
                 yield _own(ids[row], np.diff(np.r_[first, len(of)]), known, base)
                 bucket = model.bucket(x.hashes[1], x.hashes[2])
                 rare = np.flatnonzero(x.codes[0] < 0)
-                _, first = np.unique(joined(x.hashes[0][rare], bucket[rare].astype(flat.U)), return_index=True)
-                rare = rare[first]
+                rare = rare[grouped(joined(x.hashes[0][rare], bucket[rare].astype(flat.U)))[1]]
                 yield _facts(bucket[rare], pa.nulls(len(rare), pa.int64()), x.hashes[0][rare], np.zeros(len(rare), np.int64))
                 hot = np.flatnonzero(found(model.hot, x.hashes[1])[1])
-                _, first, inverse = np.unique(joined(joined(x.hashes[1][hot], x.hashes[0][hot]), bucket[hot].astype(flat.U)), return_index=True, return_inverse=True)
+                _, first, inverse = grouped(joined(joined(x.hashes[1][hot], x.hashes[0][hot]), bucket[hot].astype(flat.U)))
                 n = np.bincount(inverse, train[x.row[hot]], len(first)).astype(np.int64)
                 hot = hot[first]
                 yield _facts(bucket[hot], flat.signed(x.hashes[1][hot]), x.hashes[0][hot], n)
@@ -383,8 +397,8 @@ def score_bucket(blocks: list[bytes], w: np.ndarray, s: np.ndarray, n: np.ndarra
     context = None
     for d in range(1, DEPTH + 1):
         context = hashes[1] if d == 1 else joined(context, hashes[d])
-        c, first_c, of_c = np.unique(context, return_index=True, return_inverse=True)
-        g, first, of_g = np.unique(joined(context, hashes[0], flat.MULT_TOO), return_index=True, return_inverse=True)
+        c, first_c, of_c = grouped(context)
+        g, first, of_g = grouped(joined(context, hashes[0], flat.MULT_TOO))
         of = of_c[first]
         seen = np.bincount(of_g, train, len(g))
         mass, kinds = np.bincount(of, seen, len(c)), np.bincount(of, seen > 0, len(c))
@@ -465,7 +479,7 @@ def _scores(shared):
                 yield from done()
 
         for t in _summed(merged()):
-            yield from _packed(t, max(1, model.buckets // SHARD))
+            yield from _packed(t, max(1, model.all_buckets // SHARD))
 
     return run
 
@@ -562,17 +576,17 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n_ends = float(ended["n"]) if ended else 0.0
     order = np.argsort(hashes)
     none = np.zeros(0)
-    buckets = max(1, int(n_train * 7 // 6 // BUCKET))
     few = none.astype(flat.U)
-    model = Model(hashes[order], (order + 2).astype(np.int32), np.r_[np.array([START_HASH, END_HASH], flat.U), hashes], np.r_[0.0, n_ends, counts], buckets, total, few, none, none, none.astype(bool), few, few)
+    model = Model(hashes[order], (order + 2).astype(np.int32), np.r_[np.array([START_HASH, END_HASH], flat.U), hashes], np.r_[0.0, n_ends, counts], 1, total, few, none, none, none.astype(bool), few, few)
 
     hot = {int(r["word"]): float(r["n"]) for r in words.where((F.col("n") > BUCKET) & (F.col("word") != end_key)).collect()}
     if n_ends > BUCKET:
         hot[int(START_HASH.astype(np.int64))] = n_ends
     hot_hashes = np.sort(np.array(list(hot), np.int64).view(flat.U))
     mass = np.array([hot[int(h.astype(np.int64))] for h in hot_hashes])
-    parts = np.minimum(np.ceil(PARTS * mass / BUCKET), buckets).astype(flat.U)
-    model = model._replace(hot=hot_hashes, hot_mass=mass, hot_kinds=np.ones(len(mass)), hot_ok=np.zeros(len(mass), bool), hot_parts=parts, hot_first=np.cumsum(parts) - parts)
+    parts = np.ceil(mass / BUCKET).astype(flat.U)
+    buckets = max(1, int((n_train - mass.sum()) * 7 // 6 // BUCKET))
+    model = model._replace(buckets=buckets, hot=hot_hashes, hot_mass=mass, hot_kinds=np.ones(len(mass)), hot_ok=np.zeros(len(mass), bool), hot_parts=parts, hot_first=flat.U(buckets) + np.cumsum(parts) - parts)
 
     asked = cut(docs.mapInArrow(_asked(spark.sparkContext.broadcast(model)), ASKED), "asked")
     own = cut(asked.where("doc_id is not null").select("doc_id", F.col("n").alias("n_tokens"), "n_known", "base"), "own")
@@ -594,7 +608,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     discard(spark, asked, *([pairs] if pairs is not None else []))
     shared = spark.sparkContext.broadcast(model)
     turns = []
-    for turn in range(min(ROUNDS, buckets)):
+    for turn in range(min(ROUNDS, model.all_buckets)):
         blocks = docs.mapInArrow(_dealt(shared, turn), "bucket int, body binary").select("bucket", "body", *(F.lit(None).cast("long").alias(c) for c in "wsn"))
         dealt = blocks.union(facts.where(F.col("bucket") % ROUNDS == turn).select("bucket", F.lit(None).cast("binary").alias("body"), "w", "s", "n"))
         spread = dealt.repartition("bucket").sortWithinPartitions("bucket")
