@@ -146,6 +146,15 @@ def test_every_word_and_every_recurring_context_counts(spark, spoken, monkeypatc
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("share", [1e-3, 1.0])
+def test_hot_words_score_alike(spark, spoken, monkeypatch, share):
+    """Scores do not depend on which words every task knows, hot ones included."""
+    monkeypatch.setattr(lm_score, "BUCKET", 900)
+    monkeypatch.setattr(lm_score, "FREQUENT", share)
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(spark.createDataFrame(spoken, "doc_id long, text string")).collect()}
+    assert got == pytest.approx(whole_tree_scores(spoken))
+
+
 def test_lm_no_rows(empty):
     assert lm_score.lm_scores(empty).count() == 0
 
