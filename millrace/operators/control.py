@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import BEATS_SQL, beats, running_sum
 from ..declare import query
+from ..storage import new_path
 from ..tables import table
 
 MOST_THROUGHPUT, MOST_REJECTS, MOST_HELD = 400.0, 45, 90
@@ -18,11 +19,17 @@ OK_TIMES = 3
 PUNISH_SECONDS = 6 * 3600
 
 
+def black_list(spark: SparkSession, path: str) -> DataFrame:
+    """S16 (id) of a text file with one host:port a line, normalised to host_port; empty lines are skipped."""
+    return spark.read.text(path).select(F.regexp_replace(F.trim("value"), ":", "_").alias("id")).where("id <> ''").distinct()
+
+
 @query("""SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM (SELECT 'host-' || (n_nationkey * 3) || '_19191' AS id FROM nation) b WHERE b.id = 'host-' || s_suppkey || '_19191')""")
 def blacklist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J4, S16 workers that no line of the black list names; a line host:port is normalised to host_port."""
-    lines = table(spark, sf_dir, "nation", "n_nationkey").select(F.concat(F.lit("host-"), F.col("n_nationkey") * 3, F.lit(":19191")).alias("line"))
-    black = lines.select(F.regexp_replace("line", ":", "_").alias("id"))
+    """J4, S16 workers that no line of the black list names, a text file in the shared folder."""
+    path = new_path(spark, "black-list")
+    table(spark, sf_dir, "nation", "n_nationkey").select(F.concat(F.lit("host-"), F.col("n_nationkey") * 3, F.lit(":19191"))).write.text(path)
+    black = black_list(spark, path)
     workers = table(spark, sf_dir, "supplier", "s_suppkey").withColumn("id", F.concat(F.lit("host-"), F.col("s_suppkey"), F.lit("_19191")))
     return workers.join(black, "id", "left_anti").select("s_suppkey")
 

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import BLOCK_BYTES, BLOCKS_SQL, FRAMES_SQL, PARTITIONS, blocks, exact_sum, exact_sum_sql, frames, md5_int, md5_int_sql, running_sum
+from ..model import BLOCK_BYTES, BLOCKS_SQL, FRAMES_SQL, MAPS, PARTITIONS, blocks, exact_sum, exact_sum_sql, frames, md5_int, md5_int_sql, running_sum
 from ..declare import query
 from ..tables import table
 
@@ -63,19 +63,36 @@ def final_only_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.groupBy("partition_id", "l_returnflag").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {FRAMES_SQL} SELECT l_orderkey, l_linenumber, partition_id,
-  row_number() OVER (PARTITION BY partition_id, l_orderkey ORDER BY l_linenumber)::INTEGER AS place FROM frames""")
+def exchanged(df: DataFrame, partition: Column, partitions: int, *ordering: Column | str) -> DataFrame:
+    """E2 an exchange by the caller's own partitioner, ``partition`` in [0, partitions), then by the caller's ordering
+    inside each partition; ``placed_in`` and ``place`` say where each record has come to lie."""
+    dealt = df.repartitionById(partitions, partition.cast("int")).sortWithinPartitions(*ordering)
+    return dealt.withColumns({"placed_in": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+
+
+@query(f"""WITH {FRAMES_SQL} SELECT l_orderkey, l_linenumber, partition_id::INTEGER AS placed_in,
+  row_number() OVER (PARTITION BY partition_id ORDER BY l_orderkey, l_linenumber) - 1 AS place FROM frames""")
 def sort_within_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X17 reduce-side sort by key: each key's records in order."""
-    keyed = Window.partitionBy("partition_id", "l_orderkey").orderBy("l_linenumber")
-    return frames(spark, sf_dir).select("l_orderkey", "l_linenumber", "partition_id", F.row_number().over(keyed).alias("place"))
+    """X17 reduce-side sort by key: the place of each record in its sorted partition."""
+    rows = frames(spark, sf_dir).select("l_orderkey", "l_linenumber", "partition_id")
+    return exchanged(rows, F.col("partition_id"), PARTITIONS, "l_orderkey", "l_linenumber").drop("partition_id")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority < '2' THEN 0 ELSE 1 + o_custkey % 9 END::INTEGER AS placed_in,
+  row_number() OVER (PARTITION BY CASE WHEN o_orderpriority < '2' THEN 0 ELSE 1 + o_custkey % 9 END ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders""")
+def custom_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 urgent orders in a partition of their own, the others by customer; the dearest first in each."""
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    partitioner = F.when(F.col("o_orderpriority") < "2", 0).otherwise(1 + F.col("o_custkey") % 9)
+    return exchanged(rows, partitioner, 10, F.col("o_totalprice").desc(), F.col("o_orderkey")).select("o_orderkey", "placed_in", "place")
 
 
-@query(f"WITH {FRAMES_SQL} SELECT map_id, partition_id, count(*) AS n FROM frames GROUP BY ALL")
+@query(f"""WITH {FRAMES_SQL}, c AS (SELECT map_id, partition_id, count(*) AS n FROM frames GROUP BY ALL)
+SELECT map_id, partition_id, n, (sum(n) OVER (PARTITION BY map_id ORDER BY partition_id) - n)::BIGINT AS first, (sum(n) OVER (PARTITION BY map_id ORDER BY partition_id) - 1)::BIGINT AS last FROM c""")
 def sort_by_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O1, O2 map output sorted by partition id only, then counted run by run."""
-    ordered = frames(spark, sf_dir).select("map_id", "partition_id").repartition("map_id", "partition_id").sortWithinPartitions("partition_id")
-    return ordered.groupBy("map_id", "partition_id").agg(F.count("*").alias("n"))
+    """O1, O2 map output sorted by partition id only: where the run of each partition begins and ends in its map's output."""
+    ordered = exchanged(frames(spark, sf_dir).select("map_id", "partition_id"), F.col("map_id"), MAPS, "partition_id")
+    return ordered.groupBy("map_id", "partition_id").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
 
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal, s_suppkey")
@@ -115,11 +132,12 @@ def cut_with_reset(lengths: Column, threshold: int) -> Column:
 
 
 @query(f"""WITH {FRAMES_SQL} SELECT map_id, attempt_id, l_orderkey, l_linenumber,
-  (row_number() OVER (PARTITION BY map_id, attempt_id, l_orderkey ORDER BY l_linenumber) - 1)::INTEGER AS seq_id FROM frames""")
+  row_number() OVER (PARTITION BY map_id, attempt_id ORDER BY l_orderkey, l_linenumber) - 1 AS seq_id FROM frames""")
 def block_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W5 sequence ids from 0 along the records of one sender."""
-    sender = Window.partitionBy("map_id", "attempt_id", "l_orderkey").orderBy("l_linenumber")
-    return frames(spark, sf_dir).select("map_id", "attempt_id", "l_orderkey", "l_linenumber", (F.row_number().over(sender) - 1).alias("seq_id"))
+    """W5 sequence ids from 0 along all records of a map attempt: a running count, by chunks."""
+    rows = frames(spark, sf_dir).withColumns({"sender": F.struct("map_id", "attempt_id"), "at": F.col("l_orderkey") * 8 + F.col("l_linenumber")})
+    counted = running_sum(rows, "sender", "at", F.lit(1).cast("long"), "upto")
+    return counted.select("map_id", "attempt_id", "l_orderkey", "l_linenumber", (F.col("upto") - 1).alias("seq_id"))
 
 
 @query(f"""WITH {BLOCKS_SQL} SELECT doc_id, map_id, seq_id, (sum(length + 32) OVER (PARTITION BY map_id ORDER BY seq_id) - length)::BIGINT AS "offset" FROM blocks""")
@@ -185,12 +203,29 @@ def cached_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
 
 
-@query("SELECT event_id, abs((floor(value)::BIGINT - 250 + user_id + event_id % 20) % 10)::BIGINT AS executor FROM events")
+def text_hash(text: Column) -> Column:
+    """The 32-bit hash that the JVM gives a string: 31 times what was before plus the character, wrapping around (characters
+    of the basic plane)."""
+    step = lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(F.lit(0xFFFFFFFF))
+    wrapped = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), step)
+    return F.when(wrapped >= 1 << 31, wrapped - (1 << 32)).otherwise(wrapped)
+
+
+@query("""WITH h AS (SELECT event_id, user_id, list_reduce([0::BIGINT] || list_transform(string_split('app_' || user_id || '_' || event_type, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM events)
+SELECT event_id, abs((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END + user_id + event_id % 20) % 10)::BIGINT AS executor FROM h""")
 def executor_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4, T17 the executor a partition's blocks are kept in order on: abs((hash + shuffle + partition) % n), the
-    sign of % kept as on the JVM.  The 32-bit hash of the application comes as data."""
-    h = F.floor("value") - 250
-    return table(spark, sf_dir, "events", "event_id", "user_id", "value").select("event_id", F.abs((h + F.col("user_id") + F.col("event_id") % 20) % 10).alias("executor"))
+    sign of % kept as on the JVM."""
+    h = text_hash(F.concat(F.lit("app_"), "user_id", F.lit("_"), "event_type"))
+    return table(spark, sf_dir, "events", "event_id", "user_id", "event_type").select("event_id", F.abs((h + F.col("user_id") + F.col("event_id") % 20) % 10).alias("executor"))
+
+
+@query("""SELECT event_id, abs((user_id + event_id % 20) % 10)::INTEGER AS placed_in,
+  row_number() OVER (PARTITION BY abs((user_id + event_id % 20) % 10) ORDER BY event_id) - 1 AS place FROM events""")
+def executor_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T17 tasks of one key run on one executor, first come first served: the place of each in its executor's queue."""
+    rows = table(spark, sf_dir, "events", "event_id", "user_id")
+    return exchanged(rows, F.abs((F.col("user_id") + F.col("event_id") % 20) % 10), 10, "event_id").drop("user_id")
 
 
 def checked_block_size(size: int, least: int, most: int) -> int:

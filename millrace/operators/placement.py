@@ -55,6 +55,25 @@ def worker_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.withColumn("m", ((F.col("group_id") + F.col("place")) % F.col("n")).cast("int")).join(member, "m").select("group_id", "worker", "place")
 
 
+@query("""WITH s AS (SELECT p_partkey, p_size::BIGINT AS partitions, least(2048, greatest(3, ceil(p_size / 5.0)))::BIGINT AS workers,
+  least(10, greatest(least(p_partkey * 7, p_size * 300) // 1000, 3))::BIGINT AS size FROM part),
+p AS (SELECT *, unnest(range(partitions)) AS partition_id FROM s)
+SELECT p_partkey, workers, partition_id, partition_id % workers AS group_id, array_to_string(list_transform(range(least(size, workers)), lambda j: (partition_id % workers + j) % workers), ',') AS members FROM p""")
+def shuffle_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 a shuffle per part registered: its number of workers, a group of them from each worker on around the ring, and
+    the group that serves each partition (P1, P2, W1, P3)."""
+    asked = table(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", F.col("p_size").cast("long").alias("partitions"), group_size_of(F.col("p_partkey") * 7, F.col("p_size") * 300).alias("size"))
+    return registered(asked, "p_partkey")
+
+
+def registered(shuffles: DataFrame, key: str) -> DataFrame:
+    """X1 (key, workers, partition_id, group_id, members) of shuffles given as (key, partitions, size of a group)."""
+    sized = shuffles.withColumn("workers", worker_count_of(F.col("partitions")))
+    dealt = sized.withColumn("partition_id", F.explode(F.expr("sequence(0l, partitions - 1)"))).withColumn("group_id", F.col("partition_id") % F.col("workers"))
+    members = F.transform(F.expr("sequence(0l, least(size, workers) - 1)"), lambda j: (F.col("group_id") + j) % F.col("workers"))
+    return dealt.select(key, "workers", "partition_id", "group_id", F.array_join(members, ",").alias("members"))
+
+
 WEIGHTS_SQL = "workers AS (SELECT s_suppkey, 1 + s_suppkey % 4 AS weight FROM supplier)"
 
 
@@ -115,12 +134,33 @@ def roundrobin_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_robin(requests: DataFrame, ring: int = 25) -> DataFrame:
-    """P6 each request takes the next workers around a ring; the cursor is what was asked before, summed by chunks."""
-    upto = running_sum(requests.withColumn("ring", F.lit(0)), "ring", "event_id", F.col("asked"), "upto")
-    slots = upto.withColumn("cursor", F.col("upto") - F.col("asked")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asked") - 1)))
+    """P6 each request takes the next workers around a ring; the cursor is what was asked before, summed by chunks.
+    A request for more than there are is given all, and one for none gets none; neither moves the cursor."""
+    within = F.col("asked") <= ring
+    moved = F.when(within, F.col("asked")).otherwise(0)
+    upto = running_sum(requests.where("asked > 0").withColumn("ring", F.lit(0)), "ring", "event_id", moved, "upto")
+    slots = upto.withColumn("cursor", F.when(within, F.col("upto") - F.col("asked")).otherwise(0)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("asked"), F.lit(ring)).cast("long") - 1)))
     return slots.select("event_id", ((F.col("cursor") + F.col("j")) % ring).alias("worker"))
 
 
+@query("""WITH r AS (SELECT event_id, user_id % 31 AS asked FROM events),
+c AS (SELECT event_id, asked, sum(CASE WHEN asked <= 25 THEN asked ELSE 0 END) OVER (ORDER BY event_id) - CASE WHEN asked <= 25 THEN asked ELSE 0 END AS before FROM r)
+SELECT event_id, ((before + j) % 25)::BIGINT AS worker FROM c, unnest(range(asked)) AS x(j) WHERE asked <= 25
+UNION ALL SELECT event_id, j AS worker FROM c, unnest(range(25)) AS x(j) WHERE asked > 25""")
+def roundrobin_overask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 with requests for up to 30 of 25 workers."""
+    return round_robin(table(spark, sf_dir, "events", "event_id", "user_id").select("event_id", (F.col("user_id") % 31).alias("asked")))
+
+
+def cursor_step(cursor: int, asked: int, ring: int) -> tuple[list[int], int]:
+    """P6 one request to a ring that may change: the workers given, and the cursor after it.  All, without a move, if
+    more are asked for than there are; a ring that shrank below the cursor is read from its last worker."""
+    if asked > ring:
+        return list(range(ring)), cursor
+    cursor = min(cursor, ring - 1)
+    return [(cursor + j) % ring for j in range(asked)], (cursor + asked) % ring
+
+
 STATE_SQL = """states AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 5 < 2 THEN 'online' WHEN s_suppkey % 5 = 2 AND s_suppkey % 2 = 0 THEN 'configured'
   WHEN s_suppkey % 5 < 4 THEN 'black' ELSE 'punished' END AS state FROM supplier)"""
 
@@ -197,6 +237,24 @@ def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(40).select(F.col("id").alias("attempt"), F.least(F.lit(300), (F.expr("id div 5") + 1) * 50).alias("wait_ms"))
 
 
+MOST_RETRIES, LEAST_RETRIES = 120, 1
+
+
+def sends_of(failures: Column, retries: Column, resend: Column) -> tuple[Column, Column]:
+    """T16 how often a packet is sent whose first ``failures`` sends fail on the channel, and whether one arrives: sent
+    again only where that is enabled, and as often as is set, within its bounds."""
+    allowed = F.when(resend, F.greatest(F.lit(LEAST_RETRIES), F.least(F.lit(MOST_RETRIES), retries))).otherwise(0)
+    return F.least(failures, allowed) + 1, failures <= allowed
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey % 150 AS failures, CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE greatest(1, least(120, l_suppkey % 140)) END AS allowed FROM lineitem)
+SELECT l_orderkey, l_linenumber, least(failures, allowed) + 1 AS sends, failures <= allowed AS arrived FROM p""")
+def resends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T16, I5 a packet that never arrives fails its fetch, and with it the stage, which Spark runs again."""
+    sends, arrived = sends_of(F.col("l_partkey") % 150, F.col("l_suppkey") % 140, F.col("l_suppkey") % 3 != 0)
+    return table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").select("l_orderkey", "l_linenumber", sends.alias("sends"), arrived.alias("arrived"))
+
+
 def dispatch(strategy: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """E3 the dispatch of the strategy that a setting names."""
     if strategy not in STRATEGIES:

@@ -120,6 +120,31 @@ def agg_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), mean.alias("mean"), median.alias("median"), F.round(F.stddev_samp("l_quantity"), 4).alias("spread"))
 
 
+@query("""SELECT l_shipdate, count(DISTINCT l_partkey) AS parts, true AS near, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags,
+  string_agg(l_suppkey, ',' ORDER BY l_suppkey) FILTER (l_quantity >= 49) AS suppliers FROM lineitem GROUP BY ALL""")
+def agg_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14 approx_count_distinct (here: whether it is within three standard errors of 5 % and one), collect_set and collect_list."""
+    rows = table(spark, sf_dir, "lineitem", "l_shipdate", "l_partkey", "l_returnflag", "l_suppkey", "l_quantity").groupBy("l_shipdate")
+    suppliers = F.array_sort(F.collect_list(F.when(F.col("l_quantity") >= 49, F.col("l_suppkey"))))
+    parts, about = F.count_distinct("l_partkey"), F.approx_count_distinct("l_partkey", 0.05)
+    return rows.agg(
+        parts.alias("parts"),
+        (F.abs(about - parts) <= 0.15 * parts + 1).alias("near"),
+        F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"),
+        F.when(F.size(suppliers) > 0, F.array_join(suppliers, ",")).alias("suppliers"),
+    )
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'medium' ELSE 'large' END AS size,
+  l_shipdate + INTERVAL 7 DAY AS due, coalesce(nullif(l_returnflag, 'N'), l_linestatus) AS flag FROM lineitem WHERE l_discount BETWEEN 0.02 AND 0.05 AND l_returnflag IN ('R', 'N') AND NOT l_linestatus LIKE 'X%'""")
+def project_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F12 projection, filter and CASE; the filter reaches the scan."""
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
+    rows = rows.where(F.col("l_discount").between(0.02, 0.05) & F.col("l_returnflag").isin("R", "N") & ~F.col("l_linestatus").like("X%"))
+    size = F.when(F.col("l_quantity") < 10, "small").when(F.col("l_quantity") < 30, "medium").otherwise("large")
+    return rows.select("l_orderkey", "l_linenumber", size.alias("size"), F.expr("l_shipdate + interval 7 days").alias("due"), F.coalesce(F.expr("nullif(l_returnflag, 'N')"), "l_linestatus").alias("flag"))
+
+
 _GROUPED = f"count(*) AS n, {exact_sum_sql('l_extendedprice')} AS total FROM lineitem"
 
 

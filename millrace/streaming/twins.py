@@ -24,9 +24,10 @@ _DONE = "<= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
 
 
 def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table as a stream of its files."""
+    """An input table, one file or a folder of them, as a stream of its files; so many to a batch."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    files = spark.conf.get("millrace.stream.filesPerBatch", "1000")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}[.]parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

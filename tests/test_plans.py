@@ -21,6 +21,9 @@ def plan(df) -> str:
         ("direct_partition", "shufflepartitionidpassthrough"),
         ("sort_global", "rangepartitioning"),
         ("join_broadcast", "BroadcastHashJoin"),
+        ("exchange_identity", "hashpartitioning(o_custkey"),
+        ("custom_exchange", "shufflepartitionidpassthrough"),
+        ("agg_collect", "ObjectHashAggregate"),
     ],
 )
 def test_partitioning(spark, sf, name, text):
@@ -54,3 +57,22 @@ def test_two_levels_equal_one(spark, sf):
     two = registry.QUERIES["partial_final_agg"](spark, sf)
     one = registry.QUERIES["final_only_agg"](spark, sf).groupBy("l_returnflag").sum("n")
     assert {r[0]: r[1] for r in two.collect()} == {r[0]: r[1] for r in one.collect()}
+
+
+def test_global_sort_is_in_order(spark, sf):
+    rows = [tuple(r) for r in registry.QUERIES["sort_global"](spark, sf).select("s_acctbal", "s_suppkey").collect()]
+    assert rows == sorted(rows)
+
+
+def test_aggregates_that_cannot_hash_are_sorted(spark, sf):
+    """A16 a buffer of strings cannot be updated in place, so its groups are sorted."""
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_shipdate").agg(F.max("l_returnflag").alias("m"))
+    assert "SortAggregate" in plan(rows)
+
+
+def test_filter_and_columns_of_a_projection_reach_the_scan(spark, sf):
+    text = plan(registry.QUERIES["project_case"](spark, sf))
+    assert "GreaterThanOrEqual(l_discount,0.02)" in text
+    assert "l_extendedprice" not in text

@@ -10,6 +10,7 @@ import pytest
 from helpers import same
 from pyspark.sql import functions as F
 
+from millrace import registry
 from millrace.functions.scalar import injected_fault, packed_long, retry_wait
 from millrace.model import md5_int_sql, running_sum
 from millrace.operators import control, exchange, integrity, placement
@@ -130,6 +131,111 @@ def test_frames_are_read_back(spark, tmp_path):
         list(framed.decode(body[:40]))
 
 
+def _blocks(spark):
+    rows = [(i % 3, i % 2, 0, i, bytes([i]) * i) for i in range(12)] + [(0, 1, 0, 99, None)]
+    return spark.createDataFrame(rows, "partition_id int, map_id int, attempt_id long, seq_id int, data binary")
+
+
+def test_stored_frames_show_a_flipped_byte(spark, tmp_path):
+    spark.dataSource.register(framed.FramedSource)
+    where = f"{tmp_path}/frames"
+    clustered = _blocks(spark).repartition("partition_id").sortWithinPartitions("partition_id", "seq_id")
+    clustered.write.format("framed").mode("append").save(where)
+    rows = spark.read.format("framed").load(where)
+    assert {r.seq_id: r.data for r in rows.where("seq_id >= 0").collect()} == {r.seq_id: bytes(r.data or b"") for r in _blocks(spark).collect()}
+    assert {r.map_id: r.status for r in framed.crc_verified(rows).collect()} == {0: "OK", 1: "OK"}
+    clustered.write.format("framed").mode("overwrite").save(where)
+    assert spark.read.format("framed").load(where).where("seq_id >= 0").count() == 13
+    path = sorted((tmp_path / "frames" / "2").rglob("*.dat_final"))[0]
+    content = bytearray(path.read_bytes())
+    heads, at = [], 0
+    while at < len(content):
+        frame = framed.FRAME.unpack_from(content, at)
+        heads.append((at, frame))
+        at += framed.FRAME.size + (frame[4] if frame[2] != -1 else 0)
+    assert [h[3] for _, h in heads if h[2] != -1] == [a for a, h in heads if h[2] != -1]  # offsets are where frames begin
+    at, frame = next((a, h) for a, h in heads if h[2] != -1 and h[4] > 0)
+    content[at + framed.FRAME.size] ^= 1
+    path.write_bytes(content)
+    status = {r.map_id: r.status for r in framed.crc_verified(spark.read.format("framed").load(where)).collect()}
+    assert status == {frame[0]: "MISMATCH", 1 - frame[0]: "OK"}
+    path.write_bytes(content[:-1])
+    with pytest.raises(Exception, match="cut off"):
+        spark.read.format("framed").load(where).count()
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    spark.dataSource.register(framed.FramedSource)
+    where = f"{tmp_path}/frames"
+    broken = F.when(F.col("seq_id") == 11, F.raise_error(F.lit("lost"))).otherwise(F.col("data")).cast("binary")
+    with pytest.raises(Exception, match="lost"):
+        _blocks(spark).withColumn("data", broken).coalesce(1).write.format("framed").mode("append").save(where)
+    assert not list(tmp_path.rglob("shuffle_*"))
+    with pytest.raises(Exception, match="no column data"):
+        _blocks(spark).drop("data").write.format("framed").mode("append").save(where)
+
+
+def test_reader_waits_for_pending_files(spark, tmp_path):
+    spark.dataSource.register(framed.FramedSource)
+    (tmp_path / "shuffle_w_0_1.dat").write_bytes(b"")
+    reader = framed._Reader(str(tmp_path), 0.5)
+    with pytest.raises(TimeoutError, match="1 files still pending"):
+        reader.partitions()
+    (tmp_path / "shuffle_w_0_1.dat").rename(tmp_path / "shuffle_w_0_1.dat_final")
+    assert len(reader.partitions()) == 1
+    assert spark.read.format("framed").option("wait", "1").load(str(tmp_path)).count() == 0
+
+
+def test_round_robin_cursor(spark):
+    """The distributed cursor is the step-by-step one while the ring stays; a ring that shrank is read from its last."""
+    asked = [3, 0, 9, 11, 10, 1, 25, 4, 7]
+    cursor, want = 0, []
+    for i, n in enumerate(asked):
+        given, cursor = placement.cursor_step(cursor, n, 10)
+        want += [(i, w) for w in given]
+    got = placement.round_robin(spark.createDataFrame(list(enumerate(asked)), "event_id long, asked long"), 10)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert placement.cursor_step(8, 2, 5) == ([4, 0], 1)
+    assert placement.cursor_step(8, 6, 5) == (list(range(5)), 8)
+    assert len({w for i in range(3) for w in placement.cursor_step(3 * i, 3, 10)[0]}) == 9
+
+
+def test_black_list_file(spark, tmp_path):
+    (tmp_path / "black-list.conf").write_text("127.0.0.1:19191\n\n 127.0.0.1:19191\n")
+    assert [r.id for r in control.black_list(spark, str(tmp_path / "black-list.conf")).collect()] == ["127.0.0.1_19191"]
+
+
+@pytest.mark.parametrize("text", ["", "a", "hello", "application_1"])
+def test_text_hash(spark, text):
+    value = 0
+    for c in text:
+        value = (value * 31 + ord(c)) & 0xFFFFFFFF
+    want = value - (1 << 32) if value >= 1 << 31 else value
+    assert one(spark, exchange.text_hash(F.lit(text))) == want
+    assert spark._jvm.java.util.Objects.hashCode(text) == want
+
+
+@pytest.mark.parametrize(("failures", "retries", "resend", "sends", "arrived"), [(0, 5, False, 1, True), (1, 5, False, 1, False), (5, 5, True, 6, True), (6, 5, True, 6, False), (130, 999, True, 121, False), (1, 0, True, 2, True)])
+def test_resends(spark, failures, retries, resend, sends, arrived):
+    count, there = placement.sends_of(F.lit(failures), F.lit(retries), F.lit(resend))
+    assert spark.range(1).select(count, there).first() == (sends, arrived)
+
+
+@pytest.mark.parametrize("name", ["st_health_fsm", "st_punish_fsm", "st_admission", "st_dedup_blocks", "st_tumbling", "st_session", "st_stream_join"])
+def test_streams_keep_their_state_between_batches(spark, sf, tmp_path, name):
+    """Events in three files, read one to a batch."""
+    whole = spark.read.parquet(f"{sf}/events.parquet")
+    low, high = (r.ts for r in whole.orderBy("ts").collect()[:: whole.count() // 3][1:3])
+    for i, part in enumerate((whole.where(F.col("ts") < low), whole.where((F.col("ts") >= low) & (F.col("ts") < high)), whole.where(F.col("ts") >= high))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) == i + 1
+    spark.conf.set("millrace.stream.filesPerBatch", "1")
+    try:
+        same(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLES[name], str(tmp_path))
+    finally:
+        spark.conf.unset("millrace.stream.filesPerBatch")
+
+
 def test_frame_columns(spark):
     got = one(spark, framed.frame(F.lit(7), F.lit(-2), F.lit(-1), F.lit(1 << 40), F.lit(5)))
     assert struct.unpack(">iqiqq", got) == (7, -2, -1, 1 << 40, 5)
