@@ -78,6 +78,24 @@ def running_sum(df: DataFrame, key: str, order: str, value: Column, name: str) -
     return rows.join(before, [key, "__chunk"]).withColumn(name, F.col("__before") + F.sum("__value").over(inside)).drop("__value", "__chunk", "__before")
 
 
+#: Heartbeats of one worker in a slot of time are bounded by how often it beats, those of all time are not.
+SLOT = "day"
+
+
+def slotted(rows: DataFrame) -> DataFrame:
+    """Rows with ``ts`` and the slot of time they are in."""
+    return rows.withColumn("slot", F.date_trunc(SLOT, F.col("ts")))
+
+
+def within_slot() -> Window:
+    return Window.partitionBy("worker", "slot").orderBy("ts", "event_id")
+
+
+def along_slots() -> Window:
+    """Over one row per (worker, slot)."""
+    return Window.partitionBy("worker").orderBy("slot")
+
+
 def md5_int(column: Column | str) -> Column:
     """The first eight hex digits of an md5 as an integer: the seed of every draw that is otherwise random."""
     column = F.col(column) if isinstance(column, str) else column

@@ -6,10 +6,14 @@ the same rules as streams.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import BEATS_SQL, beats, running_sum
+from ..model import BEATS_SQL, along_slots, beats, running_sum, slotted, within_slot
 from ..declare import query
 from ..storage import new_path
 from ..tables import table
@@ -45,15 +49,14 @@ def busy_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", (F.col("user_id") % 12).alias("worker"), is_busy(F.col("value"), F.col("event_id") % 50, F.col("user_id") % 100).alias("busy"))
 
 
-def of_worker() -> Window:
-    return Window.partitionBy("worker").orderBy("ts", "event_id")
-
-
 @query(f"""WITH {BEATS_SQL}, n AS (SELECT *, lead(ts) OVER (PARTITION BY worker ORDER BY ts, event_id) AS next_ts FROM beats)
 SELECT worker, event_id, ts, next_ts FROM n WHERE next_ts > ts + INTERVAL 1 HOUR""")
 def heartbeat_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T6 no heartbeat for more than the interval (an hour on these tables)."""
-    following = beats(spark, sf_dir).withColumn("next_ts", F.lead("ts").over(of_worker()))
+    rows = slotted(beats(spark, sf_dir).select("worker", "event_id", "ts"))
+    firsts = rows.groupBy("worker", "slot").agg(F.min("ts").alias("first"))
+    after = firsts.select("worker", "slot", F.lead("first").over(along_slots()).alias("after"))
+    following = rows.withColumn("next", F.lead("ts").over(within_slot())).join(after, ["worker", "slot"]).withColumn("next_ts", F.coalesce("next", "after"))
     return following.where(F.expr("next_ts > ts + interval 1 hour")).select("worker", "event_id", "ts", "next_ts")
 
 
@@ -61,9 +64,17 @@ def heartbeat_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT worker, event_id, (sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY worker, failures ORDER BY ts, event_id))::BIGINT AS streak FROM g""")
 def ok_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W4 heartbeats that were well since the last that was not."""
-    failures = beats(spark, sf_dir).withColumn("failures", F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(of_worker()))
-    run = Window.partitionBy("worker", "failures").orderBy("ts", "event_id")
-    return failures.select("worker", "event_id", F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(run).alias("streak"))
+    good, bad = F.col("ok").cast("long"), (~F.col("ok")).cast("long")
+    rows = slotted(beats(spark, sf_dir)).withColumn("failures", F.sum(bad).over(within_slot()))
+    run = Window.partitionBy("worker", "slot", "failures").orderBy("ts", "event_id")
+    rows = rows.withColumn("inside", F.sum(good).over(run))
+    # what a slot leaves to the next: its good ones since its last failure, and if it has none, what it was left
+    ends = rows.groupBy("worker", "slot").agg(F.max("failures").alias("failures"), F.max_by("inside", F.struct("ts", "event_id")).alias("tail"))
+    ends = ends.withColumn("run", F.sum((F.col("failures") > 0).cast("long")).over(along_slots()))
+    ends = ends.withColumn("left", F.sum("tail").over(Window.partitionBy("worker", "run").orderBy("slot")))
+    before = ends.select("worker", "slot", F.coalesce(F.lag("left").over(along_slots()), F.lit(0)).alias("before"))
+    streak = F.col("inside") + F.when(F.col("failures") == 0, F.col("before")).otherwise(0)
+    return rows.join(before, ["worker", "slot"]).select("worker", "event_id", streak.alias("streak"))
 
 
 def health_step(black: bool, ok_times: int, ok: bool) -> tuple[bool, int]:
@@ -77,9 +88,17 @@ def health_step(black: bool, ok_times: int, ok: bool) -> tuple[bool, int]:
     return black, ok_times + 1 if black else 0
 
 
-def health_fold(oks: Column) -> Column:
-    """``health_step`` over an ordered array of booleans; gives whether the worker is black at its end."""
-    start = F.struct(F.lit(False).alias("black"), F.lit(0).alias("n"), F.lit(0).alias("turns"))
+#: States a worker can be in: not black, or black after so many good heartbeats in a row.
+HEALTH_STATES = [(False, 0), *((True, n) for n in range(OK_TIMES))]
+
+
+def _health_state(black: bool, n: int) -> Column:
+    return F.struct(F.lit(black).alias("black"), F.lit(n).alias("n"), F.lit(0).alias("turns"))
+
+
+def health_fold(oks: Column, black: bool = False, n: int = 0) -> Column:
+    """``health_step`` over an ordered array of booleans from a state on; gives the state at its end."""
+    start = _health_state(black, n)
 
     def step(acc: Column, ok: Column) -> Column:
         back = acc["black"] & (acc["n"] + 1 >= OK_TIMES)
@@ -90,9 +109,14 @@ def health_fold(oks: Column) -> Column:
     return F.aggregate(oks, start, step)
 
 
-def ordered_events(rows: DataFrame, *columns: str) -> DataFrame:
-    """One array of events per worker, in order: a worker's heartbeats of one retention period."""
-    return rows.groupBy("worker").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", *columns))).alias("events"))
+def health_chain(slots: Column) -> Column:
+    """The state after an ordered array of slots, each with the outcome from every one of ``HEALTH_STATES``."""
+
+    def step(acc: Column, slot: Column) -> Column:
+        outcome = F.element_at(slot["outcomes"], F.when(acc["black"], acc["n"] + 2).otherwise(1).cast("int"))
+        return F.struct(outcome["black"].alias("black"), outcome["n"].alias("n"), (acc["turns"] + outcome["turns"]).alias("turns"))
+
+    return F.aggregate(slots, _health_state(*HEALTH_STATES[0]), step)
 
 
 @query(f"""WITH RECURSIVE {BEATS_SQL}, o AS (SELECT worker, ok, row_number() OVER (PARTITION BY worker ORDER BY ts, event_id) AS i FROM beats),
@@ -105,7 +129,10 @@ f AS (SELECT worker, 0::BIGINT AS i, false AS black, 0 AS n, 0 AS turns FROM o W
 SELECT worker, black, n AS ok_times, turns FROM f QUALIFY row_number() OVER (PARTITION BY worker ORDER BY i DESC) = 1""")
 def health_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T7 the self-check black list after all heartbeats, and how often a worker went on or off it."""
-    folded = ordered_events(beats(spark, sf_dir), "ok").withColumn("s", health_fold(F.transform("events", lambda e: e["ok"])))
+    events = slotted(beats(spark, sf_dir)).groupBy("worker", "slot").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "ok"))).alias("events"))
+    oks = F.transform("events", lambda e: e["ok"])
+    slots = events.select("worker", "slot", F.array(*(health_fold(oks, *state) for state in HEALTH_STATES)).alias("outcomes"))
+    folded = slots.groupBy("worker").agg(health_chain(F.array_sort(F.collect_list(F.struct("slot", "outcomes")))).alias("s"))
     return folded.select("worker", F.col("s.black").alias("black"), F.col("s.n").alias("ok_times"), F.col("s.turns").alias("turns"))
 
 
@@ -118,18 +145,46 @@ def punish_step(since: int | None, seconds: int, now: int, busy: bool) -> tuple[
     return since, seconds
 
 
-def punish_fold(events: Column) -> Column:
-    """``punish_step`` over an ordered array of structs (at, busy)."""
-    start = F.struct(F.lit(None).cast("long").alias("since"), F.lit(PUNISH_SECONDS).cast("long").alias("seconds"), F.lit(0).alias("doubled"))
-
-    def step(acc: Column, e: Column) -> Column:
-        free, over = acc["since"].isNull(), e["at"] > acc["since"] + acc["seconds"]
-        since = F.when(free & e["busy"], e["at"]).when(free, None).when(over & ~e["busy"], None).otherwise(acc["since"])
-        seconds = F.when(free, F.lit(PUNISH_SECONDS)).when(over & e["busy"], 2 * acc["seconds"]).when(over, F.lit(PUNISH_SECONDS)).otherwise(acc["seconds"])
-        twice = F.when(~free & over & e["busy"], 1).otherwise(0)
-        return F.struct(since.cast("long").alias("since"), seconds.cast("long").alias("seconds"), (acc["doubled"] + twice).alias("doubled"))
-
-    return F.aggregate(events, start, step)
+def punish_run(since: int | None, seconds: int, at: np.ndarray, busy: np.ndarray) -> tuple[int | None, int, int]:
+    """``punish_step`` over sweeps in order of time, from sweep to sweep that changes something; also how often it doubled."""
+    i, doubled = 0, 0
+    hot = np.flatnonzero(busy)
+    while i < len(at):
+        if since is None:
+            k = int(np.searchsorted(hot, i))
+            if k == len(hot):
+                break
+            i = int(hot[k])
+        else:
+            i = max(i, int(np.searchsorted(at, since + seconds, "right")))
+            if i == len(at):
+                break
+        before = (since, seconds)
+        since, seconds = punish_step(since, seconds, int(at[i]), bool(busy[i]))
+        doubled += since is not None and since == before[0] and seconds == 2 * before[1]
+        i += 1
+    return since, seconds, doubled
+
+
+def punish_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted sweeps to one row per worker: its state after them."""
+    current, state = None, (None, PUNISH_SECONDS, 0)
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), *(pa.array([x], k) for x, k in zip(state, (pa.int64(), pa.int64(), pa.int32()), strict=True))], names=["worker", "since", "seconds", "doubled"])
+
+    for batch in batches:
+        worker, at, busy = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("worker", "at", "busy"))
+        begin = np.flatnonzero(np.r_[True, worker[1:] != worker[:-1]]) if len(worker) else []
+        for a, b in zip(begin, [*begin[1:], len(worker)], strict=True):
+            if current != worker[a]:
+                if current is not None:
+                    yield told()
+                current, state = int(worker[a]), (None, PUNISH_SECONDS, 0)
+            since, seconds, doubled = punish_run(*state[:2], at[a:b], busy[a:b])
+            state = (since, seconds, state[2] + doubled)
+    if current is not None:
+        yield told()
 
 
 def sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,9 +201,12 @@ f AS (SELECT worker, 0::BIGINT AS i, NULL::BIGINT AS since, {PUNISH_SECONDS}::BI
   FROM f JOIN o ON o.worker = f.worker AND o.i = f.i + 1)
 SELECT worker, since, seconds, doubled FROM f QUALIFY row_number() OVER (PARTITION BY worker ORDER BY i DESC) = 1""")
 def punish_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T8 which workers are punished after all sweeps, since when and for how long."""
-    folded = ordered_events(sweeps(spark, sf_dir), "at", "busy").withColumn("s", punish_fold(F.transform("events", lambda e: F.struct(e["at"].alias("at"), e["busy"].alias("busy")))))
-    return folded.select("worker", "s.since", "s.seconds", "s.doubled")
+    """T8 which workers are punished after all sweeps, since when and for how long.
+
+    What a sweep does depends on all before it: they are sorted outside memory and read as a stream, so a task holds a
+    batch of them and one worker's state."""
+    rows = sweeps(spark, sf_dir).select("worker", "ts", "event_id", "at", "busy")
+    return rows.repartition("worker").sortWithinPartitions("worker", "ts", "event_id").mapInArrow(punish_stream, "worker long, since long, seconds long, doubled int")
 
 
 PERMITS, PREFIX, INTERVAL_DAYS, EXCLUDED = 20, 4, 10, "sign"
@@ -168,7 +226,8 @@ def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = asked.join(F.broadcast(opened), "group_name").where(F.expr(f"ts < opened + interval {INTERVAL_DAYS} days"))
     apps = inside.groupBy("group_name", "app_id").agg(F.bool_or("free").alias("free"), F.min("ts").alias("first_ts"))
     place = F.row_number().over(Window.partitionBy("group_name").orderBy("first_ts", "app_id"))
-    return apps.select("group_name", "app_id", "first_ts", (F.col("free") | (place <= PERMITS)).alias("admitted"))
+    first = apps.withColumn("place", place).where(F.col("place") <= PERMITS).select("group_name", "app_id", F.lit(True).alias("permit"))
+    return apps.join(first, ["group_name", "app_id"], "left").select("group_name", "app_id", "first_ts", (F.col("free") | F.col("permit").isNotNull()).alias("admitted"))
 
 
 def similar_names(a: Column, b: Column, n: int) -> Column:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import BEATS_SQL, BLOCKS_SQL, FRAMES_SQL, beats, blocks, exact_sum, exact_sum_sql, frames, running_sum
+from ..model import BEATS_SQL, BLOCKS_SQL, FRAMES_SQL, along_slots, beats, blocks, exact_sum, exact_sum_sql, frames, running_sum, slotted, within_slot
 from ..declare import query
 from ..tables import table
-from .control import of_worker
 from .placement import STATE_SQL, weighted_dispatch, worker_states
 
 LADDER = (5, 10, 50, 100, 200, 500, 1000)
@@ -38,8 +37,10 @@ def dispatch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT worker, event_id, ((v - before) // 15)::BIGINT AS per_second FROM c WHERE v >= before""")
 def throughput_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3 growth of a counter between heartbeats, per second; the first starts at 0; where it shrank it was reset."""
-    counter = F.floor("throughput")
-    rows = beats(spark, sf_dir).withColumn("v", counter).withColumn("before", F.coalesce(F.lag("v").over(of_worker()), F.lit(0)))
+    rows = slotted(beats(spark, sf_dir).withColumn("v", F.floor("throughput")))
+    lasts = rows.groupBy("worker", "slot").agg(F.max_by("v", F.struct("ts", "event_id")).alias("last"))
+    left = lasts.select("worker", "slot", F.lag("last").over(along_slots()).alias("left"))
+    rows = rows.withColumn("inside", F.lag("v").over(within_slot())).join(left, ["worker", "slot"]).withColumn("before", F.coalesce("inside", "left", F.lit(0)))
     return rows.where("v >= before").select("worker", "event_id", F.expr("(v - before) div 15").alias("per_second"))
 
 
@@ -74,8 +75,3 @@ def spill_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9 bytes of each map and how often its buffer filled."""
     summed = running_sum(blocks(spark, sf_dir).drop("data"), "map_id", "seq_id", F.col("length"), "cum")
     return summed.groupBy("map_id").agg(F.sum("length").alias("bytes"), F.floor(F.max("cum") / SPILL_BYTES).alias("spills"))
-
-
-def running_totals(rows: DataFrame) -> DataFrame:
-    """A9 running total of what a worker held, per heartbeat."""
-    return rows.withColumn("total", F.sum("throughput").over(of_worker().rowsBetween(Window.unboundedPreceding, 0)))

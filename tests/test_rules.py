@@ -6,6 +6,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from helpers import same
 from pyspark.sql import functions as F
@@ -88,9 +89,36 @@ def test_punishment_doubles(spark):
     since, seconds = None, d
     for at, busy in events:
         since, seconds = control.punish_step(since, seconds, at, busy)
-    array = F.array(*(F.struct(F.lit(at).cast("long").alias("at"), F.lit(b).alias("busy")) for at, b in events))
-    got = one(spark, control.punish_fold(array))
-    assert (got.since, got.seconds, got.doubled) == (since, seconds, 1) == (5 * d, d, 1)
+    got = control.punish_run(None, d, np.array([at for at, _ in events]), np.array([b for _, b in events]))
+    assert got == (since, seconds, 1) == (5 * d, d, 1)
+
+
+def test_punish_run_is_its_steps():
+    rng = random.Random(2)
+    d = control.PUNISH_SECONDS
+    for share in (0.1, 0.5, 0.95):
+        at = sorted(rng.randrange(60 * d) for _ in range(400))
+        busy = [rng.random() < share for _ in at]
+        since, seconds, doubled = None, d, 0
+        for a, b in zip(at, busy, strict=True):
+            before = (since, seconds)
+            since, seconds = control.punish_step(since, seconds, a, b)
+            doubled += since is not None and since == before[0] and seconds == 2 * before[1]
+        state = (None, d, 0)
+        for i in range(0, len(at), 70):  # as batches cut it
+            s, n, more = control.punish_run(*state[:2], np.array(at[i : i + 70]), np.array(busy[i : i + 70]))
+            state = (s, n, state[2] + more)
+        assert state == (since, seconds, doubled)
+
+
+def test_health_by_slots_is_one_fold(spark):
+    rng = random.Random(3)
+    oks = [rng.random() < 0.75 for _ in range(240)]
+    lit = lambda part: F.array(*map(F.lit, part))
+    cuts = [0, 1, 2, 5, 60, 61, 130, 240]
+    slots = F.array(*(F.struct(F.lit(i).alias("slot"), F.array(*(control.health_fold(lit(oks[a:b]), *s) for s in control.HEALTH_STATES)).alias("outcomes")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))
+    whole, chained = spark.range(1).select(control.health_fold(lit(oks)), control.health_chain(slots)).first()
+    assert whole == chained
 
 
 def test_blocks_with_reset(spark):
