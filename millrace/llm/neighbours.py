@@ -24,6 +24,9 @@ BLOCK_VALUES = 1 << 18
 QUERY_VALUES = 1 << 17
 #: Queries gathered in one partition before they are cut into blocks.
 QUERY_ROWS = 1 << 14
+#: Queries whose heaps a task holds, and bytes of quantised blocks it keeps.
+HELD_QUERIES = 1 << 14
+HELD_BYTES = 64 << 20
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,8 +45,27 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def tile_survivors(q, c, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, candidate) indices that may be among the k nearest; ``own``: pairs that are the same row."""
+class Quantised:
+    """Blocks quantised, each once as long as it is among the last ones used."""
+
+    def __init__(self, room: int = HELD_BYTES) -> None:
+        self.room, self.held, self.blocks = room, 0, {}
+
+    def get(self, key: tuple[bytes, bytes], x: np.ndarray):
+        found = self.blocks.pop(key, None)
+        if found is None:
+            found = quantised(x)
+            self.held += x.size + 16 * len(x) + x.nbytes
+        self.blocks[key] = found
+        while self.held > self.room and len(self.blocks) > 1:
+            codes = self.blocks.pop(next(iter(self.blocks)))[0]
+            self.held -= 9 * codes.size + 16 * len(codes)
+        return found
+
+
+def tile_survivors(q, c, k: int, own: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) indices that may be among the k nearest; ``own``: pairs that are the same row;
+    ``known``: the distance of each query's k-th nearest so far, infinite if it has fewer."""
     (qi, qs, qn, qr), (ci, cs, cn, cr) = q, c
     dot = product(qi, ci) * qs[:, None] * cs[None]
     # |q.c - q'.c'| <= |q| |c - c'| + |q - q'| |c'|, and |c'| <= |c| + |c - c'|; a little more for rounding
@@ -52,11 +74,10 @@ def tile_survivors(q, c, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarra
     middle = (qn**2)[:, None] + (cn**2)[None] - 2 * dot
     low, high = middle - 2 * error - slack, middle + 2 * error + slack
     high[own] = np.inf
-    if high.shape[1] > k:
-        low[own] = np.inf
-        reach = np.partition(high, k - 1, axis=1)[:, k - 1]
-        return np.nonzero(low <= reach[:, None])
-    return np.nonzero(~own)
+    reach = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(high), np.inf)
+    if known is not None:
+        reach = np.minimum(reach, known**2 * (1 + 1e-9))
+    return np.nonzero((low <= reach[:, None]) & ~own)
 
 
 def _pack(dim_values: int):
@@ -92,22 +113,29 @@ def _pack(dim_values: int):
 
 
 def _tiles(k: int):
+    def told(heaps: dict[int, list[tuple[float, int]]]) -> Iterator[pa.RecordBatch]:
+        rows = [(query, -v, -d) for query, heap in heaps.items() for d, v in heap]
+        for a in range(0, len(rows), 50_000):
+            query, vec, d = zip(*rows[a : a + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "vec_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[int, list[tuple[float, int]]] = {}
-        last, quant = None, None
+        blocks = Quantised()
         for batch in batches:
             for dim, qid, qx, cid, cx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if cx is not last:
-                    c = np.frombuffer(cx).reshape(-1, dim)
-                    last, quant = cx, quantised(c)
-                q = np.frombuffer(qx).reshape(-1, dim)
+                q, c = np.frombuffer(qx).reshape(-1, dim), np.frombuffer(cx).reshape(-1, dim)
                 qids, cids = np.frombuffer(qid, np.int64), np.frombuffer(cid, np.int64)
-                qq = quantised(q)
+                if len(heaps) + len(qids) > HELD_QUERIES:  # the best of all tasks are ranked again in any case
+                    yield from told(heaps)
+                    heaps = {}
+                qq, quant = blocks.get((qid, qx), q), blocks.get((cid, cx), c)
+                known = np.array([-heap[0][0] if len(heap := heaps.get(i, ())) == k else np.inf for i in qids.tolist()])
                 step = max(1, (1 << 21) // len(cids))
                 for a in range(0, len(qids), step):
                     part = tuple(x[a : a + step] for x in qq)
                     own = qids[a : a + step, None] == cids[None]
-                    i, j = tile_survivors(part, quant, k, own)
+                    i, j = tile_survivors(part, quant, k, own, known[a : a + step])
                     for b in range(0, len(i), 1 << 16):
                         rows, cols = i[b : b + (1 << 16)] + a, j[b : b + (1 << 16)]
                         exact = np.sqrt(((q[rows] - c[cols]) ** 2).sum(1))
@@ -122,10 +150,7 @@ def _tiles(k: int):
                                 heapq.heappush(heap, (-d, -vec))
                             elif (-d, -vec) > heap[0]:
                                 heapq.heapreplace(heap, (-d, -vec))
-        rows = [(query, -v, -d) for query, heap in heaps.items() for d, v in heap]
-        for a in range(0, len(rows), 50_000):
-            query, vec, d = zip(*rows[a : a + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "vec_id", "score"])
+        yield from told(heaps)
 
     return run
 
@@ -144,8 +169,9 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     vectors of another dimension are no candidates.  Rows that repeat an id are candidates each, but not of
     queries with that id.  No usable query or candidate: no rows.  Other columns are ignored.
 
-    Query blocks are repeated for the candidate blocks, so each candidate is moved once; of every
-    query only ``k`` rows leave a task.
+    Query blocks are repeated for the lanes of candidate blocks, so each candidate is moved once.  A task takes one
+    query block after another through its lane; of a query ``k`` rows leave it, and ``k`` more each time that its
+    heaps had to make room for those of others.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), is_query.alias("q")).where(usable(F.col("x")) & F.col("id").isNotNull())
@@ -157,7 +183,8 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     lanes = max(1, min(candidates.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = candidates.withColumn("lane", F.pmod(F.xxhash64("cid"), F.lit(lanes)))
     asked = queries.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    tiles = dealt.join(asked, ["lane", "dim"]).select("dim", "qid", "qx", "cid", "cx")
+    # a merge join streams its left side and holds the rows of a key from its right, on disk if need be
+    tiles = asked.join(dealt.hint("merge"), ["lane", "dim"]).select("dim", "qid", "qx", "cid", "cx")
     found = tiles.mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

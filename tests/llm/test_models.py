@@ -185,6 +185,42 @@ def test_neighbours_are_exact(vectors):
     assert set(got) == set(range(0, 300, 50))
 
 
+@pytest.mark.parametrize(("queries", "room", "values"), [(1, 1, 256), (7, 1 << 12, 512), (1 << 14, 64 << 20, 1 << 18)])
+def test_neighbours_in_little_room(vectors, monkeypatch, queries, room, values):
+    """Heaps that make room, blocks quantised anew and small tiles change no result."""
+    for name, value in (("HELD_QUERIES", queries), ("BLOCK_VALUES", values), ("QUERY_VALUES", values)):
+        monkeypatch.setattr(neighbours, name, value)
+    x, _ = vectors
+    big = x.astype(float)
+    tables = []
+    batches = []
+    for a in range(0, 300, 40):
+        for b in range(0, 300, 25):
+            ids = lambda u, v: np.arange(u, min(v, 300), dtype=np.int64)
+            q, c = ids(a, a + 40), ids(b, b + 25)
+            tables.append((16, q.tobytes(), big[q].tobytes(), c.tobytes(), big[c].tobytes()))
+    columns = [list(z) for z in zip(*tables, strict=True)]
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    batches.append(pa.RecordBatch.from_arrays([pa.array(z, t) for z, t in zip(columns, kinds, strict=True)], names=["dim", "qid", "qx", "cid", "cx"]))
+    held = neighbours.Quantised(room)
+    assert all(np.array_equal(held.get((q, x_), np.frombuffer(x_).reshape(-1, 16))[0], neighbours.quantised(np.frombuffer(x_).reshape(-1, 16))[0]) for _, q, x_, _, _ in tables)
+    assert len(held.blocks) >= 1 and (held.held <= room or len(held.blocks) == 1)
+    found: dict[int, set] = {}
+    for batch in neighbours._tiles(10)(iter(batches)):
+        for q, v, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found.setdefault(q, set()).add((d, v))
+    for q in range(300):
+        d = np.sqrt(((big[q] - big) ** 2).sum(1))
+        want = [(d[j], int(j)) for j in np.lexsort((np.arange(300), d)) if j != q][:10]
+        assert sorted(found[q])[:10] == want
+
+
+def test_repeated_ids_are_candidates_each(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [1.0, 0.0]), (2, [3.0, 0.0]), (None, [1.0, 0.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 2).collect()
+    assert {r.vec_id for r in got} == {1} and min(r.score for r in got) == 0.0
+
+
 def test_other_dimensions_and_few_candidates(vectors):
     _, df = vectors
     got = neighbours.nearest(df, F.col("vec_id") == 1005).collect()
