@@ -174,14 +174,22 @@ def narrowed(marks: DataFrame, depth: int, k: int) -> DataFrame:
 
 def compared(marks: DataFrame, docs: DataFrame, tokens: Callable, depth: int, k: int, everywhere: bool) -> DataFrame:
     """(doc_id, first) of the windows of kind 1 rows that are equal to a window elsewhere."""
-    asked = narrowed(marks, depth, k).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("asked"))
+    return compared_windows(narrowed(marks, depth, k), docs, tokens, depth, everywhere)
+
+
+def compared_windows(asked: DataFrame, docs: DataFrame, tokens: Callable, depth: int, everywhere: bool) -> DataFrame:
+    """(doc_id, first) of the windows asked for, as (doc_id, first, last), that are equal to one of another place."""
+    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("asked"))
     rows = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_window_rows(tokens, depth), "h1 long, h2 long, doc_id long, start long")
     return rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "start").mapInArrow(_equal_windows(everywhere), "doc_id long, first long")
 
 
 def spans_by_doc(marks: DataFrame, docs: DataFrame, tokens: Callable, depth: int, k: int, everywhere: bool) -> DataFrame:
     """(doc_id, spans): the [first, end) token spans of each document that repeated windows cover."""
+    return spans_of(marks, cut(compared(marks, docs, tokens, depth, k, everywhere), "windows"), depth)
+
+
+def spans_of(marks: DataFrame, one_by_one: DataFrame, depth: int) -> DataFrame:
     certain = marks.where("kind = 0").select("doc_id", "first", (F.col("last") + depth).alias("end"))
-    one_by_one = cut(compared(marks, docs, tokens, depth, k, everywhere), "windows")
     every = certain.union(one_by_one.select("doc_id", "first", (F.col("first") + depth).alias("end")))
     return every.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))

@@ -52,6 +52,55 @@ def test_bytes(corpus, documents, depth, k):
     assert got == brute_bytes(corpus, depth)
 
 
+@pytest.mark.parametrize("group", [1, 3, 4096])
+def test_bytes_in_groups_of_any_size(corpus, documents, monkeypatch, group):
+    """Groups too large for a task change no result."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    want = brute_bytes(corpus, 60)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(documents, depth=60, k=20).collect()}
+    assert got == want
+
+
+def test_radix_passes_find_equal_suffixes():
+    rng = np.random.default_rng(5)
+    for depth in (1, 7, 8, 9, 20, 100):
+        data = rng.integers(97, 99, 3000, dtype=np.uint8)
+        data[1000:1300] = data[200:500]
+        data[2000:2300] = data[210:510]
+        at = rng.permutation(len(data) - depth + 1)
+        group = rng.integers(0, 2, len(at))
+        index, name = suffix_dedup.radix_sorted(data, at, group, depth)
+        places: dict[tuple, list] = {}
+        for i, (a, g) in enumerate(zip(at.tolist(), group.tolist(), strict=True)):
+            places.setdefault((g, data[a : a + depth].tobytes()), []).append(i)
+        found: dict[int, list] = {}
+        for i, n in zip(index.tolist(), name.tolist(), strict=True):
+            found.setdefault(n, []).append(i)
+        assert [found[n] for n in sorted(found)] == [places[p] for p in sorted(places) if len(places[p]) > 1]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_groups_are_whole_in_batches_of_any_size(monkeypatch, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "SORTED", size)
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 99, 12, dtype=np.uint8)) for _ in range(60)]
+    key = np.sort(rng.integers(0, 9, 60))
+    doc = np.arange(60)
+    table = pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(np.zeros(60, np.int64)), pa.array(np.full(60, 4, np.int32)), pa.array(texts, pa.binary())], names=["key", "doc_id", "first", "back", "held"])
+    parts = [table.slice(a, 7) for a in range(0, 60, 7)]
+    got = sorted((d, f) for b in suffix_dedup._passes(8)(iter(parts)) for d, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    seen, want = set(), []
+    for i in range(60):
+        for f in range(5):
+            w = (int(key[i]), f, texts[i][f : f + 8])
+            if w in seen:
+                want.append((i, f))
+            seen.add(w)
+    assert got == sorted(want)
+
+
 @pytest.mark.parametrize(("depth", "k", "batches"), [(35, 10, 3), (12, 5, 4), (6, 6, 1)])
 def test_words(corpus, documents, depth, k, batches):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(documents, depth=depth, k=k, batches=batches).collect()}
