@@ -551,11 +551,11 @@ def _of_documents(states: np.ndarray):
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per id of ``df``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of ``df`` with an id: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(id) mod 7 is not 2.  Tokens are words (A-Z lowered) and one end; a null or
-    empty text has the end only.  Rows that repeat an id are scored each and given once, as a sum; null ids
-    take no part.  Without training rows train_tokens is 0 and all words are the one unknown symbol; no rows: no rows.
+    empty text has the end only.  Rows that repeat an id are scored each: where there are any, rows are numbered in a
+    table of their own first.  Null ids take no part.  Without training rows train_tokens is 0 and all words are the one unknown symbol; no rows: no rows.
 
     Sent to every task: frequent words with their counts, at most 1 / ``FREQUENT``, and the words with more positions
     than a bucket.  All other words' counts, and all counts and states of the tree, stay in tables dealt by bucket.
@@ -563,6 +563,10 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null").select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    numbered = None
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        numbered = cut(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        docs = numbered.select(F.col("row").alias("doc_id"), "held_out", "text")
     words = cut(docs.where("not held_out").select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     size = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_words = size["n"] or 0, size["v"]
@@ -619,4 +623,6 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rest = sums.where("body is not null").select("shard", "body").repartition("shard").mapInArrow(_of_documents(states), "doc_id long, n_known long, base double, score double")
     both = own.withColumn("score", F.lit(0.0)).unionByName(rest.withColumn("n_tokens", F.lit(0).cast("long")))
     out = both.groupBy("doc_id").agg(*(F.sum(x).alias(x) for x in ("n_tokens", *SUMS)))
+    if numbered is not None:
+        out = out.withColumnRenamed("doc_id", "row").join(numbered.select("row", "doc_id"), "row")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

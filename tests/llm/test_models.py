@@ -420,3 +420,32 @@ def test_token_file_round_trip(spark, corpus, documents, tmp_path, empty):
     assert some.first().start == rows[7].start
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)" in some._jdf.queryExecution().executedPlan().toString()
     assert token_file.token_digests(empty, BPE).count() == 0
+
+
+# ids
+
+
+def test_rows_that_repeat_an_id_or_have_none(spark, tmp_path):
+    """One row for each row with an id, however often the id comes; token files and packing keep rows without one."""
+    text = "a plain line of words that says what it has to say and then ends"
+    rows = [(1, text), (1, text), (1, "another text"), (2, None), (None, text)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    ids = lambda out: sorted(r.doc_id for r in out.collect())
+    assert ids(quality.quality_scores(table, labels)) == [1, 1, 1, 2]
+    assert ids(lm_score.lm_scores(table)) == [1, 1, 1, 2]
+    encoded = token_file.token_digests(table, BPE).orderBy("start").collect()
+    assert [r.doc_id for r in encoded] == [None, 1, 1, 1, 2]
+    assert [r.start for r in encoded] == list(np.cumsum([0, *(r.n_tokens for r in encoded)])[:-1])
+    packed = packing.pack_texts(table, BPE).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in packed) == [(False, 1)] * 3 + [(False, 2), (True, 0)]
+
+
+def test_ties_at_the_threshold(spark):
+    """Equal texts have equal scores, and a score at the threshold is predicted 1."""
+    table = spark.createDataFrame([(i, "the same text in every row") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, quality int")
+    scores = {r.score for r in quality.quality_scores(table, labels).collect()}
+    assert len(scores) == 1
+    at = quality.quality_scores(table, labels, threshold=scores.pop()).collect()
+    assert {r.predicted for r in at} == {1}

@@ -53,3 +53,36 @@ def test_run_gives_bins(spark):
     out = pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0
     assert {"doc_id", "bin_id", "bin_length"} <= set(out.columns)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _tables(spark, path, rows, schema=SCHEMA):
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_no_documents(spark, tmp_path):
+    path = _tables(spark, tmp_path, [])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs, path).count() == 0
+    assert pipeline.run(spark, path).count() == 0
+
+
+def test_nulls_empty_and_repeated_rows(spark, tmp_path):
+    """Null ids, texts and sources, empty texts, rows that come twice, and columns named like those inside."""
+    prose = "the river keeps to its bed and the town above it keeps to its hill through all of the long winter"
+    rows = [(i, f"{prose} {i} {prose[::-1]}", None, "a" if i % 2 else None, None, 1, "x") for i in range(1, 9)]
+    rows += [(20, None, "en", "a", 0, 1, "x"), (21, "", "en", None, 0, 1, "x"), (21, "", "en", None, 0, 1, "x"), (None, prose, "en", "a", 1, 1, "x"), (None, None, None, None, None, None, None), (1, rows[0][1], None, "a", None, 1, "x")]
+    path = _tables(spark, tmp_path, rows, SCHEMA + ", rate long, component_id string")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}, name
+    assert pipeline.STAGES[-1][1](spark, docs, path).select("doc_id", "piece").count() == len(rows)
+    assert pipeline.exact_copies(spark, docs, path).where("doc_id = 1").count() == 1
+    assert pipeline.run(spark, path).where("length < 1").count() == 0

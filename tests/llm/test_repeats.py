@@ -152,3 +152,16 @@ def test_a_long_unbroken_tail_stays_in_its_text():
     assert np.diff(rows).tolist() == [2, 3, 2]
     assert h[:2].tolist() == h[-2:].tolist()
     assert (end[rows[1:] - 1] <= offsets[1:]).all()
+
+
+def test_repeated_and_null_ids(spark):
+    """Equal rows of one id: each is a row of the result; rows without an id are none."""
+    rng = np.random.default_rng(11)
+    word = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    text = " ".join(word(5) for _ in range(60))
+    rows = [(1, text), (1, text), (2, text), (None, text), (3, None), (3, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for out, size in ((suffix_dedup.suffix_dedup(table), "n_bytes"), (substring_dedup.substring_dedup(table), "n_words")):
+        got = sorted((r.doc_id, r[size] > 0, r.n_removed > 0) for r in out.collect())
+        assert [g[:2] for g in got] == [(1, True), (1, True), (2, True), (3, False), (3, False)]
+        assert got[2][2]  # the same text under another id is a repeat
