@@ -11,14 +11,17 @@
    cannot reach the threshold: of two sets that reach it, the rarest few shingles (in one global order) must
    meet.  The members of a small shingle group are paired, but for pairs without enough shingles left
    from there on or with bitmaps too unlike.  Those of a large group are dealt to blocks, and any two blocks meet in
-   a tile that holds their sets: a matrix product gives all intersections there, and at most one link
-   for each member leaves it, so rows do not grow with the square of a group.
+   a tile, first with their rarest shingles only: members that those tests part from all others, or that
+   meet the others at a rarer shingle already, leave it.  The tile then holds the sets of the rest: a matrix product
+   gives all intersections there, and at most one link for each member leaves it, so rows do not grow with the
+   square of a group.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -205,23 +208,42 @@ def _slot_counts(slots: int):
     return run
 
 
+def head(h: np.ndarray, slot_counts: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set that must meet those of any set it can be linked with, the rarest first."""
+    n = len(h) - -(-percent * len(h) // 100) + 1
+    return h[np.lexsort((h, slot_counts[(h % U(len(slot_counts))).astype(np.int64)]))[:n]]
+
+
+def _parity(h: np.ndarray) -> bytes:
+    odd = np.bincount((h >> U(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _heads(slot_counts: np.ndarray, percent: int):
+    """The head of each set (rep, component, hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), U) for x in batch.column(2)]
+            heads = pa.array([head(h, slot_counts, percent).tobytes() for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(h) for h in sets], pa.int64()), pa.array([_parity(h) for h in sets], pa.binary()), heads], names=["rep", "component", "size", "parity", "head"])
+
+    return run
+
+
 def _rarest(slot_counts: np.ndarray, percent: int):
-    """The shingles of each set that must meet those of any set it can be linked with."""
+    """A row for each shingle in the head of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = U(len(slot_counts))
         for batch in batches:
             keys, which, ranks, sizes, maps = [], [], [], [], []
             for i, x in enumerate(batch.column(2)):
                 h = np.frombuffer(x.as_buffer(), U)
-                n = len(h) - -(-percent * len(h) // 100) + 1
-                order = np.lexsort((h, slot_counts[(h % slots).astype(np.int64)]))[:n]
-                keys.append(h[order])
-                which.append(np.full(len(order), i))
-                ranks.append(np.arange(len(order)))
-                sizes.append(np.full(len(order), len(h)))
-                odd = np.bincount((h >> U(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
-                maps.append(np.packbits(odd.astype(bool)).tobytes())
+                keys.append(head(h, slot_counts, percent))
+                which.append(np.full(len(keys[-1]), i))
+                ranks.append(np.arange(len(keys[-1])))
+                sizes.append(np.full(len(keys[-1]), len(h)))
+                maps.append(_parity(h))
             if keys:
                 at = pa.array(np.concatenate(which))
                 yield pa.RecordBatch.from_arrays([flat.signed(np.concatenate(keys)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(ranks)), pa.array(np.concatenate(sizes)), pa.array(maps, pa.binary()).take(at)], names=["shingle", "rep", "component", "rank", "size", "parity"])
@@ -281,11 +303,10 @@ def _across(percent: int):
     return lambda batches: merged(groups(batches))
 
 
-def tile_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the members of a tile, by place."""
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values any two of the sets share."""
     n = len(sets)
-    size = np.array([len(x) for x in sets])
-    values, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
     order = np.argsort(values, kind="stable")  # owners of one shingle ascend
     values, owner = values[order], owner[order]
     new = np.ones(len(values), bool)
@@ -305,7 +326,31 @@ def tile_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         part = np.zeros((n, COLUMNS), np.float32)
         part[own[lo:hi], which[lo:hi] - a] = 1
         both += np.triu(part @ part.T, 1)
-    both += both.T
+    return both + both.T
+
+
+def tile_open(rank: np.ndarray, component: np.ndarray, size: np.ndarray, parity: list[bytes], before: list[np.ndarray], percent: int) -> np.ndarray:
+    """Places of the members of a tile that can be linked with a member of another component and meet it here first:
+    ``before`` holds what is rarer in each member's head than the tile's shingle, which is at ``rank``."""
+    bits = np.frombuffer(b"".join(parity), U).reshape(len(size), -1)
+    left = size - rank
+    fit = np.zeros((len(size), len(size)), bool)
+    for a in range(len(size)):
+        at = np.flatnonzero((component != component[a]) & ((100 + percent) * np.minimum(left[a], left) >= percent * (size[a] + size)))
+        differ = np.bitwise_count(bits[at] ^ bits[a]).sum(1)
+        fit[a, at] = (100 + percent) * differ <= (100 - percent) * (size[a] + size[at])
+    at = np.flatnonzero(fit.any(1))
+    if not len(at):
+        return at
+    first = fit[np.ix_(at, at)] & (intersections([before[i] for i in at.tolist()]) == 0)
+    return at[first.any(1)]
+
+
+def tile_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the members of a tile, by place."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    both = intersections(sets)
     linked = 100 * both >= percent * (size[:, None] + size[None] - both)
     apart, links = np.ones(n, bool), []
     for root in range(n):
@@ -324,6 +369,30 @@ def tile_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 FEW, COLUMNS = 8, 4096
 
 
+def _open(percent: int):
+    """Rows (tile, rep, rank, component, size, parity, before) sorted by tile: the members that stay in each tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
+
+        def done() -> pa.RecordBatch:
+            rep, rank, component, size, parity, before = zip(*held, strict=True)
+            at = tile_open(np.array(rank), np.array(component), np.array(size), parity, [np.frombuffer(x, U) for x in before], percent)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tile)), pa.array(np.array(rep)[at])], names=["tile", "rep"])
+
+        for batch in batches:
+            for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if t != tile and held:
+                    yield done()
+                    held = []
+                tile = t
+                held.append(row)
+        if held:
+            yield done()
+
+    return run
+
+
 def _tiles(percent: int):
     """Rows (tile, rep, hashes) sorted by tile: the links of each tile."""
 
@@ -349,13 +418,17 @@ def _tiles(percent: int):
     return run
 
 
-def _in_tiles(rare: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _in_tiles(rare: DataFrame, large: DataFrame, rest: DataFrame, slot_counts: np.ndarray, percent: int) -> DataFrame:
     """Links (a, b) among the members of each ``large`` shingle group: any two of its ``blocks`` meet in a tile."""
-    dealt = salted_left_join(rare.select("shingle", "rep"), large.select("shingle", "blocks"), "shingle", "rep").where("blocks is not null")
+    dealt = salted_left_join(rare.select("shingle", "rep", "rank"), large.select("shingle", "blocks"), "shingle", "rep").where("blocks is not null")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", "shingle"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     tile = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other"))
-    met = dealt.where("own <> other or blocks = 1").select(tile.alias("tile"), "rep")
-    return met.join(sets, "rep").select("tile", "rep", "hashes").repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "a long, b long")
+    met = dealt.where("own <> other or blocks = 1").select(tile.alias("tile"), "rep", "rank")
+    heads = rest.mapInArrow(_heads(slot_counts, percent), "rep long, component long, size long, parity binary, head binary")
+    before = F.expr("substring(head, 1, cast(8 * rank as int))")
+    trimmed = met.join(heads, "rep").select("tile", "rep", "rank", "component", "size", "parity", before.alias("before"))
+    kept = trimmed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_open(percent), "tile long, rep long")
+    return kept.join(rest.select("rep", "hashes"), "rep").select("tile", "rep", "hashes").repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "a long, b long")
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -401,6 +474,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_reps = of.join(apart, "key", "left_semi").select("rep", "component").distinct()
     rest = cut(open_reps.join(sets, "rep").select("rep", "component", "hashes"), "apart")
+    discard(spark, buckets, sets)
     slots = 1 << 16
     counted = rest.select("hashes").mapInArrow(_slot_counts(slots), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(slots, np.int64)
@@ -411,12 +485,11 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = cut(sizes.where("lo <> hi").select("shingle", (F.col("n") > PAIRED).alias("large"), F.when(F.col("n") <= 2 * BLOCK_ROWS, F.lit(1)).otherwise(blocks).cast("long").alias("blocks")), "groups")
     small, large = groups.where("not large"), groups.where("large")
     pairs = rare.join(small, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "component", "rep").mapInArrow(_across(percent), "a long, b long").distinct()
-    more = _confirmed(pairs, rest.select("rep", "hashes"), percent)
+    found = [links, cut(_confirmed(pairs, rest.select("rep", "hashes"), percent), "links")]
     if large.limit(1).count():
-        more = more.union(_in_tiles(rare, large, rest.select("rep", "hashes"), percent).distinct())
-    linked = cut(links.union(more), "links")
-    final = components(linked)
-    discard(spark, buckets, sets, rest, links, rare, groups)
+        found.append(cut(_in_tiles(rare, large, rest, counts, percent).distinct(), "links"))
+    final = components(reduce(DataFrame.union, found))
+    discard(spark, rest, rare, groups, *found)
 
     placed = classes.select("d1", "d2", "rep", "doc_id", "copies").join(final.withColumnRenamed("id", "rep"), "rep", "left")
     smallest = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -89,6 +90,61 @@ def test_a_large_group_that_no_star_joins(spark, monkeypatch, block):
     assert {i: x for i, *x in near(spark, rows)} == {i: list(x) for i, x in want.items()}
 
 
+def test_tiles_hold_only_sets_that_may_be_linked(spark, monkeypatch, tmp_path):
+    """Texts with a rare passage in common, most of them far apart: their sets are not dealt to a tile for each of its shingles."""
+    monkeypatch.setattr(near_dedup, "PAIRED", 8)
+    plain, counts = near_dedup._tiles, tmp_path / "counts"
+    counts.mkdir()
+
+    def counting(percent):
+        run = plain(percent)
+
+        def counted(batches):
+            for batch in batches:
+                (counts / str(uuid.uuid4())).write_text(str(batch.num_rows))
+                yield batch
+
+        return lambda batches: run(counted(batches))
+
+    monkeypatch.setattr(near_dedup, "_tiles", counting)
+    rng = random.Random(9)
+    shared = [[f"p{i}w{k}" for k in range(40)] for i in range(8)]
+    rows = []
+    for i in range(120):
+        words = sum((shared[k] for k in sorted(rng.sample(range(8), 4))), [f"f{i % 10}w{k}" for k in range(40)])
+        rows.append((i, " ".join(words)))
+        if i % 7 == 0:
+            rows.append((1000 - i, " ".join([*words, "end"])))
+    assert {i: tuple(x) for i, *x in near(spark, rows)} == brute_near(rows, 3, 85)
+    assert sum(int(x.read_text()) for x in counts.iterdir()) < 3 * len(rows)
+
+
+def test_tile_open():
+    """Two members stay if they are of different components, may reach the threshold and share nothing rarer."""
+    rng = np.random.default_rng(3)
+    slots = np.ones(64, np.int64)
+    base = np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64))
+    sets = []
+    for _ in range(40):
+        h = base.copy()
+        at = rng.choice(len(h), rng.integers(1, 40), replace=False)
+        h[at] = rng.integers(0, 2**63, len(at), dtype=np.uint64)
+        sets.append(np.sort(h))
+    component = np.arange(40) // 2
+    linked = {(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    heads = [near_dedup.head(h, slots, 85) for h in sets]
+    met = set()
+    for shingle in np.unique(np.concatenate(heads)):
+        has = [i for i in range(40) if shingle in heads[i]]
+        rank = np.array([int(np.flatnonzero(heads[i] == shingle)[0]) for i in has])
+        before = [heads[i][:r] for i, r in zip(has, rank.tolist(), strict=True)]
+        at = near_dedup.tile_open(rank, component[has], np.array([len(sets[i]) for i in has]), [near_dedup._parity(sets[i]) for i in has], before, 85)
+        stay = [has[i] for i in at.tolist()]
+        met |= {(i, j) for i in stay for j in stay}
+    wanted = {(i, j) for i, j in linked if component[i] != component[j]}
+    assert wanted and wanted <= met
+
+
 def test_tile_links():
     rng = np.random.default_rng(2)
     base = np.arange(300, dtype=np.uint64)
