@@ -7,9 +7,11 @@ distribution is smoothed towards that of the suffix, that of no context is the a
 scored in the longest state that its past ends in.
 
 Symbols and states grow with the corpus and are never gathered: positions are dealt by the word before them,
-so all contexts that end in that word, their counts and the positions they score meet in one bucket.  A word with
+so all contexts that end in that word, their counts and the positions they score meet in one bucket; frequent words are
+placed so that no bucket gets too many of them.  A word with
 more positions than a bucket is dealt by the word before it, too, to as many buckets of its own as its positions need;
-its counts are summed first and sent to the buckets that ask for them, unless only one does.
+its counts are summed first and sent to the buckets that ask for them, unless only one does.  Up to ``TOGETHER`` of its
+buckets are read one after another by one task, to which each count is sent once.
 
 What a text's frequent words add to its base is summed where the text is read.  The rest of its sums leaves each
 bucket packed, many texts to a row, as multiples of 1 / ``UNIT``, so that the order of summing does not show.
@@ -17,6 +19,7 @@ bucket packed, many texts to a row, as multiples of 1 / ``UNIT``, so that the or
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -35,6 +38,11 @@ DEPTH, BITS = 3, 10
 LEAST = 2
 #: Positions of a bucket, about.
 BUCKET = 1 << 19
+#: A word of more positions than this share of a bucket is not dealt by its hash but to the bucket with least of such words,
+#: one of more than half a bucket to a bucket of its own.
+PLACED = 1 / 16
+#: Buckets of a word, at most, that one task reads one after another; all other buckets are a group of their own.
+TOGETHER = 8
 #: Buckets whose number of texts, about, is summed at once.
 SHARD = 4
 UNIT = 1 << 32
@@ -49,6 +57,8 @@ END_WORD = b"\n"
 SUMS = ("n_known", "base", "score")
 START, END, OTHER, FIRST = 0, 1, 2, 3
 MASK = (1 << BITS) - 1
+#: Stands for a bucket in the rows with a group's facts, so that they come before its buckets.
+FACTS = -1
 START_HASH = flat.mix(np.array([0x5354415254], flat.U))[0]
 END_HASH = flat.ranged(flat.prefix(flat.BYTE[np.frombuffer(END_WORD, np.uint8)]), np.array([0]), np.array([1]))[0]
 
@@ -180,7 +190,8 @@ def build_tree(counts: list[tuple[np.ndarray, np.ndarray]], alphabet: int) -> Tr
 class Model(NamedTuple):
     """Frequent words: hashes (ascending), their codes; by code hashes and counts (START and END are 0 and 1).
     Words with more positions than a bucket: hashes (ascending), occurrences, kinds of next symbols, whether they diverge,
-    parts, and the bucket of the first part (the others follow).  ``buckets`` is for all other words."""
+    parts, and the bucket of the first part (the others follow).  ``buckets`` is for all other words, but for ``placed`` ones
+    (ascending), which are in ``placed_in``.  ``groups`` has the group of each bucket."""
 
     words: np.ndarray
     codes: np.ndarray
@@ -194,6 +205,9 @@ class Model(NamedTuple):
     hot_ok: np.ndarray
     hot_parts: np.ndarray
     hot_first: np.ndarray
+    placed: np.ndarray
+    placed_in: np.ndarray
+    groups: np.ndarray
 
     def code(self, h: np.ndarray) -> np.ndarray:
         """The code of each hash, -1 of words that are not frequent."""
@@ -204,17 +218,27 @@ class Model(NamedTuple):
         out[order[hit]] = self.codes[at[hit]]
         return out[inverse]
 
-    def bucket(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """By the word before, of hot words by the two words before."""
+    def first_bucket(self, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket by the word before, the first one of hot words; place of hot words, -1 of others)"""
         out = flat.mix(one) % flat.U(self.buckets)
+        at, is_placed = found(self.placed, one)
+        out[is_placed] = self.placed_in[at[is_placed]]
         at, is_hot = found(self.hot, one)
-        at = at[is_hot]
-        out[is_hot] = self.hot_first[at] + flat.mix(two[is_hot]) % self.hot_parts[at]
-        return out.astype(np.uint16 if self.all_buckets <= 1 << 16 else np.int32)
+        out[is_hot] = self.hot_first[at[is_hot]]
+        return out.astype(np.uint16 if self.all_buckets <= 1 << 16 else np.int32), np.where(is_hot, at, -1).astype(np.int32)
+
+    def bucket(self, one: np.ndarray, codes: np.ndarray, two: np.ndarray, by_code: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket by the word before, of hot words by the two words before; positions after a hot word).  ``by_code``: ``first_bucket(self.hashes)``"""
+        out, hot = (x[codes] for x in by_code)
+        rare = np.flatnonzero(codes < 0)
+        out[rare], hot[rare] = self.first_bucket(one[rare])
+        at = np.flatnonzero(hot >= 0)
+        out[at] += (flat.mix(two[at]) % self.hot_parts[hot[at]]).astype(out.dtype)
+        return out, at
 
     @property
     def all_buckets(self) -> int:
-        return self.buckets + int(self.hot_parts.sum())
+        return len(self.groups)
 
 
 def found(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,6 +258,28 @@ def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unique, place, which
 
 
+def places(sizes: np.ndarray, own: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for each word: those with ``own`` follow the ``buckets``, the largest of the others go first to that with least."""
+    out = np.zeros(len(sizes), flat.U)
+    out[own] = buckets + np.arange(own.sum())
+    load = [(0.0, k) for k in range(buckets)]
+    for i in sorted(np.flatnonzero(~own).tolist(), key=lambda i: -sizes[i]):
+        least, k = load[0]
+        out[i] = k
+        heapq.heapreplace(load, (least + float(sizes[i]), k))
+    return out
+
+
+def groups_of(buckets: int, parts: np.ndarray) -> np.ndarray:
+    """The group of each bucket: one for each of ``buckets``, then those of each hot word's parts, about equally many in each."""
+    out, first = [np.arange(buckets)], buckets
+    for n in parts.tolist():
+        many = -(-n // TOGETHER)
+        out.append(first + np.arange(n) * many // n)
+        first += many
+    return np.concatenate(out).astype(np.int32)
+
+
 def joined(a: np.ndarray, b: np.ndarray, mult: int = flat.MULT) -> np.ndarray:
     return flat.mix(a * flat.U(mult) + b)
 
@@ -283,62 +329,68 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _asked(shared):
-    """(bucket, null, s, 0) for each word s that is not frequent; (bucket, w, s, n) for words after a hot one, n times in
-    training; for each document its tokens, and the known ones and the base of its frequent words."""
+    """(group, null, null, s, 0) for each word s that is not frequent; (group, bucket, w, s, n) for words after a hot one, n times
+    in training; for each document its tokens, and the known ones and the base of its frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        by_code = model.first_bucket(model.hashes)
+        is_known, logs = model.counts > 0, np.log10((model.counts + 1) / model.total)
         for batch in _several(batches):
             ids, train = batch.column(0).to_numpy(), ~batch.column(1).to_numpy(zero_copy_only=False)
             for x in positions_of(batch.column(2), model):
                 frequent = x.codes[0] >= 0
-                count = model.counts[x.codes[0][frequent]]
+                code = x.codes[0][frequent]
                 first = np.flatnonzero(np.diff(x.row, prepend=-1))
                 row = x.row[first]
                 of, many = x.row - row[0], len(ids)
-                known, base = (np.bincount(of[frequent], v, many)[row - row[0]] for v in (count > 0, np.log10((count + 1) / model.total)))
+                known, base = (np.bincount(of[frequent], v, many)[row - row[0]] for v in (is_known[code], logs[code]))
                 yield _own(ids[row], np.diff(np.r_[first, len(of)]), known, base)
-                bucket = model.bucket(x.hashes[1], x.hashes[2])
+                bucket, hot = model.bucket(x.hashes[1], x.codes[1], x.hashes[2], by_code)
                 rare = np.flatnonzero(x.codes[0] < 0)
-                rare = rare[grouped(joined(x.hashes[0][rare], bucket[rare].astype(flat.U)))[1]]
-                yield _facts(bucket[rare], pa.nulls(len(rare), pa.int64()), x.hashes[0][rare], np.zeros(len(rare), np.int64))
-                hot = np.flatnonzero(found(model.hot, x.hashes[1])[1])
+                group = model.groups[bucket[rare]]
+                first = grouped(joined(x.hashes[0][rare], group.astype(flat.U)))[1]
+                rare = rare[first]
+                yield _facts(group[first], pa.nulls(len(rare), pa.int32()), pa.nulls(len(rare), pa.int64()), x.hashes[0][rare], np.zeros(len(rare), np.int64))
                 _, first, inverse = grouped(joined(joined(x.hashes[1][hot], x.hashes[0][hot]), bucket[hot].astype(flat.U)))
                 n = np.bincount(inverse, train[x.row[hot]], len(first)).astype(np.int64)
                 hot = hot[first]
-                yield _facts(bucket[hot], flat.signed(x.hashes[1][hot]), x.hashes[0][hot], n)
+                yield _facts(model.groups[bucket[hot]], pa.array(bucket[hot].astype(np.int32)), flat.signed(x.hashes[1][hot]), x.hashes[0][hot], n)
 
     return run
 
 
-ASKED = "bucket int, w long, s long, n long, doc_id long, n_known long, base double"
-ASKED_NAMES = ["bucket", "w", "s", "n", "doc_id", "n_known", "base"]
+ASKED = "grp int, bucket int, w long, s long, n long, doc_id long, n_known long, base double"
+ASKED_NAMES = ["grp", "bucket", "w", "s", "n", "doc_id", "n_known", "base"]
 
 
-def _facts(bucket, w, s, n) -> pa.RecordBatch:
+def _facts(group, bucket, w, s, n) -> pa.RecordBatch:
     none = (pa.nulls(len(n), t) for t in (pa.int64(), pa.int64(), pa.float64()))
-    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), w, flat.signed(s), pa.array(n), *none], names=ASKED_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(group), bucket, w, flat.signed(s), pa.array(n), *none], names=ASKED_NAMES)
 
 
 def _own(doc, n, known, base) -> pa.RecordBatch:
-    none = (pa.nulls(len(n), t) for t in (pa.int32(), pa.int64(), pa.int64()))
+    none = (pa.nulls(len(n), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64()))
     return pa.RecordBatch.from_arrays([*none, pa.array(n.astype(np.int64)), pa.array(doc), pa.array(known.astype(np.int64)), pa.array(base)], names=ASKED_NAMES)
 
 
 def _dealt(shared, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        by_code = model.first_bucket(model.hashes)
+        here = model.groups % ROUNDS == turn
         for batch in _several(batches):
             ids, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             for x in positions_of(batch.column(2), model):
-                bucket = model.bucket(x.hashes[1], x.hashes[2])
-                order = np.argsort(bucket, kind="stable")
-                order = order[bucket[order] % ROUNDS == turn]
+                bucket, _ = model.bucket(x.hashes[1], x.codes[1], x.hashes[2], by_code)
+                order = np.flatnonzero(here[bucket])
+                order = order[np.argsort(bucket[order], kind="stable")]
                 if not len(order):
                     continue
                 cuts = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1, len(order)]
                 blocks = [_block(x, order[a:b], ids, held) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts[:-1]]].astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "body"])
+                own = bucket[order[cuts[:-1]]]
+                yield pa.RecordBatch.from_arrays([pa.array(model.groups[own]), pa.array(own.astype(np.int32)), pa.array(blocks, pa.binary())], names=["grp", "bucket", "body"])
 
     return run
 
@@ -379,19 +431,32 @@ def _unblock(body: bytes, model: Model) -> tuple[np.ndarray, ...]:
     return np.repeat(ids, many), np.repeat(held, many), count, *hashes
 
 
-def score_bucket(blocks: list[bytes], w: np.ndarray, s: np.ndarray, n: np.ndarray, model: Model) -> Iterator[pa.RecordBatch]:
-    """Partial sums of the bucket's documents (known and base of words that are not frequent only); ``w``, ``s``, ``n``: counts of words (w is 0) and of words after hot ones."""
-    doc, held, count, *hashes = (np.concatenate(x) for x in zip(*(_unblock(b, model) for b in blocks), strict=True))
-    train = (~held).astype(float)
-    rare = np.flatnonzero(count < 0)
+class Facts(NamedTuple):
+    """What a group is told: words (ascending) and their counts, words after its hot word as one key (ascending) and theirs."""
+
+    word: np.ndarray
+    word_n: np.ndarray
+    pair: np.ndarray
+    pair_n: np.ndarray
+
+
+def facts_of(w: np.ndarray, s: np.ndarray, n: np.ndarray) -> Facts:
+    """``w``, ``s``, ``n``: counts of words (w is 0) and of words after hot ones."""
     alone = w == 0
     order = np.argsort(s[alone])
-    at, hit = found(s[alone][order], hashes[0][rare])
-    count[rare] = np.where(hit, n[alone][order][at], 0) if len(order) else 0
-    p = base = (count + 1) / model.total
     pair = joined(w[~alone], s[~alone], flat.MULT_TOO)
     pair_order = np.argsort(pair)
-    pair, pair_n = pair[pair_order], n[~alone][pair_order]
+    return Facts(s[alone][order], n[alone][order], pair[pair_order], n[~alone][pair_order])
+
+
+def score_bucket(blocks: list[bytes], facts: Facts, model: Model) -> Iterator[pa.RecordBatch]:
+    """Partial sums of the bucket's documents (known and base of words that are not frequent only)."""
+    doc, held, count, *hashes = (np.concatenate(x) for x in zip(*(_unblock(b, model) for b in blocks), strict=True))
+    train = (~held).astype(float)
+    rare = np.flatnonzero(count < 0)
+    at, hit = found(facts.word, hashes[0][rare])
+    count[rare] = np.where(hit, facts.word_n[at], 0) if len(facts.word) else 0
+    p = base = (count + 1) / model.total
     ids, states, suffixes, logs = [], [], [], [np.log10(base)]
     open_hot = np.zeros(len(doc), bool)
     context = None
@@ -405,9 +470,9 @@ def score_bucket(blocks: list[bytes], w: np.ndarray, s: np.ndarray, n: np.ndarra
         if d == 1:
             at_hot, is_hot = found(model.hot, c)
             if is_hot.any():
-                at, hit = found(pair, g)
+                at, hit = found(facts.pair, g)
                 here = is_hot[of] & hit  # pairs that other buckets have, too
-                seen[here] = pair_n[at[here]]
+                seen[here] = facts.pair_n[at[here]]
                 mass[is_hot], kinds[is_hot] = model.hot_mass[at_hot[is_hot]], model.hot_kinds[at_hot[is_hot]]
         parent = p[first]
         gain = np.bincount(of, np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(mass[of], 1) / parent), 0), len(c))
@@ -437,7 +502,7 @@ def score_bucket(blocks: list[bytes], w: np.ndarray, s: np.ndarray, n: np.ndarra
         values[:, 2] = np.bincount(inverse, (logs[1] - logs[0])[at], len(first))
         yield _sums(doc[at][first], np.zeros(len(first), bool), flat.signed(hashes[1][at][first]), values)
     score = np.choose(longest, logs)
-    unique, inverse = np.unique(doc, return_inverse=True)
+    unique, _, inverse = grouped(doc)
     of = inverse[rare]
     values = np.column_stack([np.bincount(of, count[rare] > 0, len(unique)), np.bincount(of, logs[0][rare], len(unique)), np.bincount(inverse, score, len(unique))])
     yield _sums(unique, np.zeros(len(unique), bool), pa.nulls(len(unique), pa.int64()), values)
@@ -451,29 +516,37 @@ def _sums(doc, is_state, hot, values: np.ndarray) -> pa.RecordBatch:
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # the rows of one bucket, or the facts of one group
         current = None
+        none = np.zeros(0, flat.U)
+        facts = (None, facts_of(none, none, np.zeros(0)))  # of which group
 
         def done() -> Iterator[pa.RecordBatch]:
+            nonlocal facts
             t = pa.Table.from_batches(held)
-            blocks = t.column("body").drop_null().to_pylist()
-            facts = t.filter(pc.is_null(t.column("body")))
-            w, s, n = (facts.column(c).fill_null(0).to_numpy() for c in ("w", "s", "n"))
-            if blocks:
-                yield from score_bucket(blocks, w.view(flat.U), s.view(flat.U), n.astype(float), model)
+            held.clear()
+            group, bucket = current
+            if bucket == FACTS:
+                w, s, n = (t.column(c).fill_null(0).to_numpy() for c in ("w", "s", "n"))
+                facts = group, facts_of(w.view(flat.U), s.view(flat.U), n.astype(float))
+            else:
+                if facts[0] != group:
+                    facts = group, facts_of(none, none, np.zeros(0))
+                blocks = t.column("body").to_pylist()
+                del t
+                yield from score_bucket(blocks, facts[1], model)
 
         def merged() -> Iterator[pa.RecordBatch]:
+            nonlocal current
             for batch in batches:
-                bucket = batch.column(0).to_numpy()
-                cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+                group, bucket = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                cuts = np.r_[0, np.flatnonzero(np.diff(group) | np.diff(bucket)) + 1, len(bucket)]
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     if a == b:
                         continue
-                    nonlocal current
-                    if bucket[a] != current and held:
+                    if (group[a], bucket[a]) != current and held:
                         yield from done()
-                        held.clear()
-                    current = bucket[a]
+                    current = group[a], bucket[a]
                     held.append(batch.slice(a, b - a))
             if held:
                 yield from done()
@@ -581,24 +654,27 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = np.argsort(hashes)
     none = np.zeros(0)
     few = none.astype(flat.U)
-    model = Model(hashes[order], (order + 2).astype(np.int32), np.r_[np.array([START_HASH, END_HASH], flat.U), hashes], np.r_[0.0, n_ends, counts], 1, total, few, none, none, none.astype(bool), few, few)
-
-    hot = {int(r["word"]): float(r["n"]) for r in words.where((F.col("n") > BUCKET) & (F.col("word") != end_key)).collect()}
-    if n_ends > BUCKET:
-        hot[int(START_HASH.astype(np.int64))] = n_ends
-    hot_hashes = np.sort(np.array(list(hot), np.int64).view(flat.U))
-    mass = np.array([hot[int(h.astype(np.int64))] for h in hot_hashes])
-    parts = np.ceil(mass / BUCKET).astype(flat.U)
-    buckets = max(1, int((n_train - mass.sum()) * 7 // 6 // BUCKET))
-    model = model._replace(buckets=buckets, hot=hot_hashes, hot_mass=mass, hot_kinds=np.ones(len(mass)), hot_ok=np.zeros(len(mass), bool), hot_parts=parts, hot_first=flat.U(buckets) + np.cumsum(parts) - parts)
+    model = Model(hashes[order], (order + 2).astype(np.int32), np.r_[np.array([START_HASH, END_HASH], flat.U), hashes], np.r_[0.0, n_ends, counts], 1, total, few, none, none, none.astype(bool), few, few, few, few, np.zeros(1, np.int32))
+
+    often = {int(r["word"]): float(r["n"]) for r in words.where((F.col("n") > PLACED * BUCKET) & (F.col("word") != end_key)).collect()}
+    if n_ends > PLACED * BUCKET:
+        often[int(START_HASH.astype(np.int64))] = n_ends
+    hot = {k: n for k, n in often.items() if n > BUCKET}
+    hot_hashes, placed = (np.sort(np.array(list(x), np.int64).view(flat.U)) for x in (hot, often.keys() - hot.keys()))
+    mass, sizes = (np.array([often[int(h.astype(np.int64))] for h in x]) for x in (hot_hashes, placed))
+    parts, own = np.ceil(mass / BUCKET).astype(flat.U), sizes > BUCKET / 2
+    buckets = max(1, int((n_train - mass.sum() - sizes[own].sum()) * 7 // 6 // BUCKET))
+    first = buckets + int(own.sum())
+    model = model._replace(buckets=buckets, hot=hot_hashes, hot_mass=mass, hot_kinds=np.ones(len(mass)), hot_ok=np.zeros(len(mass), bool), hot_parts=parts, hot_first=flat.U(first) + np.cumsum(parts) - parts)
+    model = model._replace(placed=placed, placed_in=places(sizes, own, buckets), groups=groups_of(first, parts.astype(np.int64)))
 
     asked = cut(docs.mapInArrow(_asked(spark.sparkContext.broadcast(model)), ASKED), "asked")
     own = cut(asked.where("doc_id is not null").select("doc_id", F.col("n").alias("n_tokens"), "n_known", "base"), "own")
     counted = words.select(F.col("word").alias("s"), F.col("n").alias("__n"))
-    facts = asked.where("s is not null and w is null").select("bucket", "s").distinct().join(counted, "s").select("bucket", F.lit(0).cast("long").alias("w"), "s", F.col("__n").alias("n"))
+    facts = asked.where("s is not null and w is null").select("grp", "s").distinct().join(counted, "s").select("grp", F.lit(0).cast("long").alias("w"), "s", F.col("__n").alias("n"))
     pairs = None
     if hot:
-        pairs = cut(asked.where("w is not null").groupBy("w", "s").agg(F.sum("n").alias("n"), F.collect_set("bucket").alias("buckets")).where("n > 0"), "pairs")
+        pairs = cut(asked.where("w is not null").groupBy("w", "s").agg(F.sum("n").alias("n"), (F.min("bucket") < F.max("bucket")).alias("several"), F.collect_set("grp").alias("groups")).where("n > 0"), "pairs")
         of_word = F.create_map(*(F.lit(x) for k, v in hot.items() for x in (k, v)))[F.col("w")]
         share = (F.col("__n") + 1) / F.lit(total)
         gains = {r["w"]: r for r in pairs.join(counted, "s").groupBy("w").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / of_word / share)).alias("gain")).collect()}
@@ -606,16 +682,16 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         kinds = np.array([r["kinds"] for r in rows], float)
         model = model._replace(hot_kinds=kinds, hot_ok=np.array([r["gain"] for r in rows]) >= kinds * np.log(max(total, 2)) / 2)
         # a pair that one bucket has alone is counted there
-        facts = facts.union(pairs.where(F.size("buckets") > 1).select(F.explode("buckets").alias("bucket"), "w", "s", "n"))
+        facts = facts.union(pairs.where("several").select(F.explode("groups").alias("grp"), "w", "s", "n"))
 
     facts = cut(facts, "facts")
     discard(spark, asked, *([pairs] if pairs is not None else []))
     shared = spark.sparkContext.broadcast(model)
     turns = []
-    for turn in range(min(ROUNDS, model.all_buckets)):
-        blocks = docs.mapInArrow(_dealt(shared, turn), "bucket int, body binary").select("bucket", "body", *(F.lit(None).cast("long").alias(c) for c in "wsn"))
-        dealt = blocks.union(facts.where(F.col("bucket") % ROUNDS == turn).select("bucket", F.lit(None).cast("binary").alias("body"), "w", "s", "n"))
-        spread = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    for turn in range(min(ROUNDS, int(model.groups.max()) + 1)):
+        blocks = docs.mapInArrow(_dealt(shared, turn), "grp int, bucket int, body binary").select("grp", "bucket", "body", *(F.lit(None).cast("long").alias(c) for c in "wsn"))
+        dealt = blocks.union(facts.where(F.col("grp") % ROUNDS == turn).select("grp", F.lit(FACTS).alias("bucket"), F.lit(None).cast("binary").alias("body"), "w", "s", "n"))
+        spread = dealt.repartition("grp").sortWithinPartitions("grp", "bucket")
         turns.append(cut(spread.mapInArrow(_scores(shared), "shard int, hot long, body binary"), "scores"))
     discard(spark, facts)
     sums = reduce(DataFrame.union, turns)

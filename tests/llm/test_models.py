@@ -155,6 +155,50 @@ def test_hot_words_score_alike(spark, spoken, monkeypatch, share):
     assert got == pytest.approx(whole_tree_scores(spoken))
 
 
+def test_counts_after_a_hot_word_are_sent_once_to_a_group(spark, spoken, monkeypatch):
+    """A pair of words is told to each task that reads it, not to each of the task's buckets."""
+    monkeypatch.setattr(lm_score, "BUCKET", 1500)
+    plain, sent = lm_score.cut, []
+
+    def counting(df, name, *partition_by):
+        out = plain(df, name, *partition_by)
+        if name == "facts":
+            pairs = out.where("w <> 0")
+            sent.append((pairs.count(), pairs.select("w", "s").distinct().count()))
+        return out
+
+    monkeypatch.setattr(lm_score, "cut", counting)
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(spark.createDataFrame(spoken, "doc_id long, text string")).collect()}
+    assert got == pytest.approx(whole_tree_scores(spoken))
+    [(rows, pairs)] = sent
+    assert rows == pairs > 100
+
+
+@pytest.mark.parametrize("together", [1, 2, 100])
+def test_groups_of_buckets_score_alike(spark, spoken, monkeypatch, together):
+    monkeypatch.setattr(lm_score, "BUCKET", 300)
+    monkeypatch.setattr(lm_score, "TOGETHER", together)
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(spark.createDataFrame(spoken, "doc_id long, text string")).collect()}
+    assert got == pytest.approx(whole_tree_scores(spoken))
+
+
+def test_groups_of():
+    got = lm_score.groups_of(3, np.array([2, 9, 17])).tolist()
+    assert got == sorted(got)
+    assert [got.count(x) for x in range(got[-1] + 1)] == [1, 1, 1, 2, 5, 4, 6, 6, 5]
+    assert lm_score.groups_of(1, np.zeros(0, np.int64)).tolist() == [0]
+
+
+def test_frequent_words_are_placed_apart():
+    """No bucket gets several of the words that would fill it, however their hashes fall."""
+    sizes = np.array([700.0, 10, 400, 390, 380, 120, 110, 100, 90, 600])
+    own = sizes > 500
+    at = lm_score.places(sizes, own, 4)
+    assert sorted(at[own].tolist()) == [4, 5]
+    assert np.bincount(at[~own].astype(int), sizes[~own], 4).max() == 420
+    assert lm_score.places(np.zeros(0), np.zeros(0, bool), 4).tolist() == []
+
+
 def test_lm_no_rows(empty):
     assert lm_score.lm_scores(empty).count() == 0
 
