@@ -113,12 +113,12 @@ def pieces(data: np.ndarray, a: int, b: int, size: int = 4 * CHUNK) -> Iterator[
     yield a, b
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of every word of every row, and the row offsets into these arrays."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, size: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every word of every row, and the row offsets into these arrays; ``size`` bytes, about, are hashed at once."""
     table = BYTE_LOWER if lower else BYTE
     hashes, starts, ends = [], [], []
-    for a, b in chunks(offsets):
-        for lo, hi in pieces(data, int(offsets[a]), int(offsets[b])):
+    for a, b in chunks(offsets, size):
+        for lo, hi in pieces(data, int(offsets[a]), int(offsets[b]), 4 * size):
             part = data[lo:hi]
             inner = offsets[a : b + 1] if (lo, hi) == (offsets[a], offsets[b]) else np.array([lo, hi])
             s, e = word_bounds(part, inner - lo)

@@ -48,6 +48,10 @@ SHARD = 4
 UNIT = 1 << 32
 #: Buckets are dealt in so many rounds, each of which reads all texts, so that less lies on disk at once.
 ROUNDS = 2
+#: Keys, about, that are grouped at once: Arrow's table of them is of up to 24 * 8 bytes a key, and grows fourfold at a time.
+GROUPED = 1 << 16
+#: Bytes of text, about, whose words are hashed at once.
+HASHED = 1 << 18
 #: Positions that a task deals out at once.
 DEALT = 1 << 20
 #: Words of at least this share, at most 1 / FREQUENT, go to every task with their counts; the rest are joined.
@@ -93,7 +97,7 @@ def _gathered(parts: Iterator[tuple], bound: int = 500_000) -> Iterator[tuple]:
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def parts() -> Iterator[tuple]:
         for batch in batches:
-            yield np.unique(flat.word_hashes(*flat.texts(batch.column(0)), lower=True)[0], return_counts=True)
+            yield np.unique(flat.word_hashes(*flat.texts(batch.column(0)), lower=True, size=HASHED)[0], return_counts=True)
             yield np.array([END_HASH]), np.array([batch.num_rows])
 
     for key, n in _gathered(parts()):
@@ -251,8 +255,22 @@ def found(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(different keys, a place of each, which of them each key is)"""
-    coded = pa.array(key).dictionary_encode()
-    unique, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    parts = len(key) // GROUPED + 1
+    if parts == 1:
+        coded = pa.array(key).dictionary_encode()
+        unique, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    else:
+        part = (((key.view(flat.U) * flat.U(flat.MULT)) >> flat.U(32)) * flat.U(parts) >> flat.U(32)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+        order = np.argsort(part, kind="stable")
+        cuts = np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
+        del part
+        which, several, n = np.empty(len(key), np.int32), [], 0
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            coded = pa.array(key[order[a:b]]).dictionary_encode()
+            which[order[a:b]] = coded.indices.to_numpy() + np.int32(n)
+            several.append(coded.dictionary.to_numpy())
+            n += len(several[-1])
+        unique = np.concatenate(several)
     place = np.zeros(len(unique), np.int64)
     place[which] = np.arange(len(which))
     return unique, place, which
@@ -294,7 +312,7 @@ class Positions(NamedTuple):
 
 def positions_of(column: pa.Array, model: Model) -> Iterator[Positions]:
     """The positions of some texts, ``DEALT`` at a time, however long a text is."""
-    h, _, _, rows = flat.word_hashes(*flat.texts(column), lower=True)
+    h, _, _, rows = flat.word_hashes(*flat.texts(column), lower=True, size=HASHED)
     n = len(rows) - 1
     row = np.repeat(np.arange(n), np.diff(rows))
     laid = np.full(len(h) + (DEPTH + 1) * n, START_HASH, flat.U)
@@ -449,10 +467,26 @@ def facts_of(w: np.ndarray, s: np.ndarray, n: np.ndarray) -> Facts:
     return Facts(s[alone][order], n[alone][order], pair[pair_order], n[~alone][pair_order])
 
 
-def score_bucket(blocks: list[bytes], facts: Facts, model: Model) -> Iterator[pa.RecordBatch]:
-    """Partial sums of the bucket's documents (known and base of words that are not frequent only)."""
-    doc, held, count, *hashes = (np.concatenate(x) for x in zip(*(_unblock(b, model) for b in blocks), strict=True))
+def _unblocked(blocks: list[bytes], model: Model) -> list[np.ndarray]:
+    """``_unblock`` of all blocks, which are taken out of the list one by one."""
+    n = sum(int(np.frombuffer(b, np.int64, 2)[1]) for b in blocks)
+    out = [np.empty(n, kind) for kind in (np.int64, bool, np.float64, *[flat.U] * (DEPTH + 1))]
+    at = 0
+    while blocks:
+        part = _unblock(blocks.pop(), model)
+        for x, y in zip(out, part, strict=True):
+            x[at : at + len(y)] = y
+        at += len(part[0])
+    return out
+
+
+def score_bucket(blocks: list[bytes], facts: Facts, model: Model) -> list[pa.RecordBatch]:
+    """Partial sums of the bucket's documents (known and base of words that are not frequent only).  Empties ``blocks``, and
+    keeps nothing of the bucket while the sums are added up and packed."""
+    out = []
+    doc, held, count, *hashes = _unblocked(blocks, model)
     train = (~held).astype(float)
+    del held
     rare = np.flatnonzero(count < 0)
     at, hit = found(facts.word, hashes[0][rare])
     count[rare] = np.where(hit, facts.word_n[at], 0) if len(facts.word) else 0
@@ -462,6 +496,8 @@ def score_bucket(blocks: list[bytes], facts: Facts, model: Model) -> Iterator[pa
     context = None
     for d in range(1, DEPTH + 1):
         context = hashes[1] if d == 1 else joined(context, hashes[d])
+        if d > 1:
+            hashes[d] = None
         c, first_c, of_c = grouped(context)
         g, first, of_g = grouped(joined(context, hashes[0], flat.MULT_TOO))
         of = of_c[first]
@@ -487,6 +523,8 @@ def score_bucket(blocks: list[bytes], facts: Facts, model: Model) -> Iterator[pa
         suffixes.append(ids[-1][first_c] if ids else None)
         ids.append(of_c)
         states.append(state)
+        del c, first_c, of_c, g, first, of_g, of, seen, mass, kinds, parent, gain, both
+    del context, train, p
     for d in range(DEPTH - 1, 0, -1):
         states[d - 1][suffixes[d][states[d]]] = True
     longest = np.zeros(len(doc), np.int64)
@@ -494,18 +532,19 @@ def score_bucket(blocks: list[bytes], facts: Facts, model: Model) -> Iterator[pa
         longest[states[d - 1][ids[d - 1]]] = d
     if open_hot.any():
         ends = np.unique(hashes[1][open_hot & (longest > 0)])
-        yield _sums(None, np.ones(len(ends), bool), flat.signed(ends), np.zeros((len(ends), 3)))
+        out.append(_sums(None, np.ones(len(ends), bool), flat.signed(ends), np.zeros((len(ends), 3))))
         longest[open_hot & (longest == 1)] = 0
         at = np.flatnonzero(open_hot & (longest == 0))
         _, first, inverse = np.unique(joined(doc[at].view(flat.U), hashes[1][at]), return_index=True, return_inverse=True)
         values = np.zeros((len(first), 3))
         values[:, 2] = np.bincount(inverse, (logs[1] - logs[0])[at], len(first))
-        yield _sums(doc[at][first], np.zeros(len(first), bool), flat.signed(hashes[1][at][first]), values)
+        out.append(_sums(doc[at][first], np.zeros(len(first), bool), flat.signed(hashes[1][at][first]), values))
     score = np.choose(longest, logs)
     unique, _, inverse = grouped(doc)
     of = inverse[rare]
     values = np.column_stack([np.bincount(of, count[rare] > 0, len(unique)), np.bincount(of, logs[0][rare], len(unique)), np.bincount(inverse, score, len(unique))])
-    yield _sums(unique, np.zeros(len(unique), bool), pa.nulls(len(unique), pa.int64()), values)
+    out.append(_sums(unique, np.zeros(len(unique), bool), pa.nulls(len(unique), pa.int64()), values))
+    return out
 
 
 def _sums(doc, is_state, hot, values: np.ndarray) -> pa.RecordBatch:
@@ -535,6 +574,7 @@ def _scores(shared):
                 blocks = t.column("body").to_pylist()
                 del t
                 yield from score_bucket(blocks, facts[1], model)
+            pa.default_memory_pool().release_unused()
 
         def merged() -> Iterator[pa.RecordBatch]:
             nonlocal current

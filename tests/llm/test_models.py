@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -199,6 +201,43 @@ def test_frequent_words_are_placed_apart():
     assert lm_score.places(np.zeros(0), np.zeros(0, bool), 4).tolist() == []
 
 
+def test_lm_groups_keys_in_parts():
+    rng = np.random.default_rng(5)
+    for key in (flat.mix(rng.integers(0, 150_000, 400_000).astype(flat.U)), rng.integers(-90_000, 90_000, 300_000), np.full(200_000, 7, flat.U), np.zeros(0, flat.U)):
+        unique, place, which = lm_score.grouped(key)
+        assert unique.dtype == key.dtype and sorted(unique.tolist()) == np.unique(key).tolist()
+        assert (unique[which] == key).all() and (key[place] == unique).all()
+
+
+def test_lm_bucket_memory():
+    """A bucket is scored in bounded memory: 250 bytes for each of its positions, and nothing of it stays in the sums."""
+    code = """
+import re, sys
+import numpy as np, pyarrow as pa
+from millrace.llm import flat, lm_score as L
+
+def mb(what):
+    return int(re.search(what + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+few, n = np.zeros(0, flat.U), 30_000
+hashes = flat.mix(np.arange(200_002, dtype=flat.U))
+order = np.argsort(hashes)
+model = L.Model(hashes[order], order.astype(np.int32), hashes, np.full(len(hashes), 9.0), 1, 1e7, few, few, few, few, few, few, few, few, np.zeros(1, np.int32))
+rng, blocks = np.random.default_rng(1), []
+for k in range(20):
+    codes = [rng.integers(2, 200_002, n).astype(np.int32) for _ in range(L.DEPTH + 1)]
+    x = L.Positions([hashes[c] for c in codes], codes, np.arange(n) // 20)
+    blocks.append(L._block(x, np.arange(n), 1500 * k + np.arange(1500), np.zeros(1500, bool)))
+del x, codes
+before = mb("VmRSS")
+sums = list(L.score_bucket(blocks, L.facts_of(few, few, few), model))
+print(mb("VmHWM") - before, sum(x.num_rows for x in sums), len(blocks))
+"""
+    taken, rows, left = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert float(taken) < 250 * 600_000 / 2**20 + 30
+    assert (rows, left) == ("30000", "0")
+
+
 def test_lm_no_rows(empty):
     assert lm_score.lm_scores(empty).count() == 0
 
