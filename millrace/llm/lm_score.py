@@ -48,7 +48,7 @@ SHARD = 4
 UNIT = 1 << 32
 #: Buckets are dealt in so many rounds, each of which reads all texts, so that less lies on disk at once.
 ROUNDS = 2
-#: Keys, about, that are grouped at once: Arrow's table of them is of up to 24 * 8 bytes a key, and grows fourfold at a time.
+#: Keys, about, that are grouped at once: Arrow took up to 62 MB to group 524,000 different ones.
 GROUPED = 1 << 16
 #: Bytes of text, about, whose words are hashed at once.
 HASHED = 1 << 18
