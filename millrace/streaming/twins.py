@@ -5,7 +5,7 @@ A stream is drained (everything there is, then it ends) into a table in the shar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.control import EXCLUDED, INTERVAL_DAYS, MOST_THROUGHPUT, PERMITS, PREFIX, PUNISH_SECONDS, health_step, punish_step
+from ..operators.control import MOST_THROUGHPUT, PUNISH_SECONDS, first_requests, health_step, punish_step, requests, with_permits
 from ..operators.integrity import is_late
 from ..declare import ORACLES, query
 from ..storage import new_path
@@ -34,17 +34,22 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", DELAY)
 
 
-def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Run a stream over all there is and return what it wrote.  Every batch is a folder of its own, so a batch
-    that is run again replaces itself; of ``keys`` the last batch's row counts."""
-    spark = stream.sparkSession
-    path = new_path(spark, "stream")
+def poured(stream: DataFrame, mode: str, path: str, made: Callable[[DataFrame, int], DataFrame] = lambda rows, batch: rows) -> None:
+    """Run a stream over all there is and write what is ``made`` of each batch.  Every batch is a folder of its own,
+    so a batch that is run again replaces itself."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        made(rows, batch).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
 
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     run.awaitTermination()
+
+
+def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all there is and return what it wrote; of ``keys`` the last batch's row counts."""
+    spark = stream.sparkSession
+    path = new_path(spark, "stream")
+    poured(stream, mode, path)
     out = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
     if mode == "complete":
         return out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
@@ -131,27 +136,32 @@ def st_punish_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(kept, "update", ["worker"])
 
 
-def _admit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    opened, apps = (state.get[0], list(state.get[1])) if state.exists else (None, [])
-    rows = pd.concat(list(parts)).sort_values(["ts", "app_id"])
-    out = []
-    for ts, app, free in zip(rows["ts"], rows["app_id"].tolist(), rows["free"].tolist(), strict=True):
-        at = int(ts.value // 1000)
-        opened = at if opened is None else opened
-        if at >= opened + INTERVAL_DAYS * 86_400_000_000 or app in apps:
-            continue
-        apps.append(app)
-        out.append((key[0], app, ts, bool(free or len(apps) <= PERMITS)))
-    state.update((opened, apps))
-    yield pd.DataFrame(out, columns=["group_name", "app_id", "first_ts", "admitted"])
+def admitted(asked: DataFrame, decided: DataFrame) -> DataFrame:
+    """The decisions of one batch, after ``decided`` (with the batch of each row): a group is opened by the first request of
+    its first batch, and applications that have been decided on are not asked again.  Requests are dealt by group and application."""
+    begun = decided.groupBy("group_name").agg(F.min_by("first_ts", F.struct("batch", "first_ts")).alias("begun"), F.count("*").alias("n"))
+    firsts = asked.groupBy("group_name").agg(F.min("ts").alias("first")).join(F.broadcast(begun), "group_name", "left")
+    apps = first_requests(asked, firsts.select("group_name", F.coalesce("begun", "first").alias("opened")))
+    old = decided.select(F.col("group_name").alias("g"), F.col("app_id").alias("a"))
+    new = apps.join(old, (F.col("group_name") == F.col("g")) & F.col("app_id").eqNullSafe(F.col("a")), "left_anti")
+    return with_permits(new, begun.select("group_name", "n"))
 
 
 @query()
 def st_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T10 as a stream: the decision on each application's first request in its group's first interval."""
-    asked = events(spark, sf_dir).select(F.substring("event_type", 1, PREFIX).alias("group_name"), F.col("user_id").alias("app_id"), "ts", F.col("event_type").startswith(EXCLUDED).alias("free"))
-    kept = asked.groupBy("group_name").applyInPandasWithState(_admit, "group_name string, app_id long, first_ts timestamp, admitted boolean", "opened long, apps array<long>", "append", GroupStateTimeout.NoTimeout)
-    return drained(kept, "append").withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz"))
+    """T10 as a stream: the decision on each application's first request in its group's first interval.
+
+    Few groups may hold all requests, so the state is not kept by group: it is what earlier batches have written."""
+    asked = requests(streamed(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    path, kept = new_path(spark, "stream"), "group_name string, app_id long, first_ts timestamp_ntz, admitted boolean, batch long"
+
+    def made(rows: DataFrame, batch: int) -> DataFrame:
+        here = rows.sparkSession
+        decided = here.read.schema(kept).parquet(f"{path}/rows").where(F.col("batch") < batch) if batch else here.createDataFrame([], kept)
+        return admitted(rows, decided)
+
+    poured(asked, "append", path, made)
+    return spark.read.schema(kept).parquet(f"{path}/rows").drop("batch")
 
 
 for _twin in ("health_fsm", "punish_fsm", "admission"):

@@ -345,3 +345,37 @@ def test_one_bad_sketch_is_outvoted(spark, tmp_path):
     odd = "(null, 1L, 'A', 5L, 50D), (null, null, 'R', 4L, 49D), (null, 1L, null, null, 50D), (timestamp_ntz'2000-08-10', null, null, null, null)"
     rows.union(spark.sql(f"SELECT * FROM VALUES {odd}")).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     same(registry.QUERIES["agg_collect"](spark, str(tmp_path)), registry.ORACLES["agg_collect"], str(tmp_path))
+
+
+def test_one_group_is_admitted_by_many_tasks(spark, tmp_path):
+    """All requests in one group: its decisions come from all tasks of the exchange."""
+    spark.read.parquet(f"{LARGER}/events.parquet").withColumn("event_type", F.lit("view")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = registry.QUERIES["st_admission"](spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    same(got, registry.ORACLES["st_admission"], str(tmp_path))
+    assert got.groupBy(F.input_file_name()).count().count() == 4
+
+
+@pytest.mark.parametrize("name", ["admission", "st_admission"])
+@pytest.mark.parametrize("batches", [1, 3])
+def test_admission_of_odd_requests(spark, tmp_path, name, batches):
+    """Requests without a name, a time or an application; more applications at one time than permits; a group that opens late."""
+    odd = "('click', null, 0), (null, 1L, 0), ('view', 1L, null), ('', 7L, 5), ('signup', null, 30), ('view', 2L, 20), ('view', 3L, 31), ('click', 99L, 9), ('click', 98L, 10)"
+    rows = spark.range(25).selectExpr("'click' AS event_type", "id AS user_id", "id % 2 AS day").union(spark.sql(f"SELECT * FROM VALUES {odd}"))
+    rows = rows.selectExpr("monotonically_increasing_id() AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(day) AS ts", "user_id", "event_type", "1D AS value", "'' AS props").cache()
+    day = F.when(F.col("ts") < "2024-01-02", 0).when(F.col("ts") < "2024-01-06", 1).otherwise(2)
+    for i in range(batches):
+        rows.where(day == i if batches > 1 else F.lit(True)).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("millrace.stream.filesPerBatch", "1")
+    try:
+        same(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLES[name], str(tmp_path))
+    finally:
+        spark.conf.unset("millrace.stream.filesPerBatch")
+
+
+def test_admission_of_no_requests(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/events.parquet").limit(0).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert registry.QUERIES["st_admission"](spark, str(tmp_path)).count() == 0
